@@ -105,14 +105,10 @@ def _pattern_verdict(target: Column, rules: tuple[PatternRule, ...]) -> Column:
     if not rules:
         return F.lit(None).cast("string")
     tokens = F.array_distinct(F.regexp_extract_all(target, F.lit(f"({TOKEN})"), 1))
-    index = index_patterns(rules)
-    table = F.map_from_entries(F.array(*[F.struct(F.lit(t), F.array(*map(F.lit, ids))) for t, ids in index.items()]))
-    candidates = F.array_sort(F.flatten(F.transform(F.filter(tokens, lambda t: F.map_contains_key(table, t)), lambda t: table[t])))
-    branch = None
-    for i, r in enumerate(rules):
-        test = lambda c, r=r, i=i: (c == i) & target.rlike(r.pattern)
-        branch = (branch or F).when(F.exists(candidates, test), F.lit(r.verdict))
-    return branch
+    entry = lambda i: F.struct(F.lit(i).alias("id"), F.lit(rules[i].verdict).alias("verdict"), F.lit(rules[i].pattern).alias("pattern"))
+    index = F.map_from_entries(F.array(*[F.struct(F.lit(t), F.array(*map(entry, ids))) for t, ids in index_patterns(rules).items()]))
+    fetched = F.flatten(F.transform(F.filter(tokens, lambda t: F.map_contains_key(index, t)), lambda t: index[t]))
+    return F.array_min(F.filter(fetched, lambda r: F.rlike(target, r["pattern"])))["verdict"]
 
 
 def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, default: str = "allow") -> DataFrame:
