@@ -74,7 +74,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parallelism(df: DataFrame, target: int = SHARD_BYTES) -> int:
