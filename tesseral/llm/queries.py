@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality_rules, repeats, simhash, token_counts, url_filters
+from . import bpe, decontaminate, gru_lm, quality_rules, repeats, simhash, token_counts, url_filters
 from .common import table
 
 
@@ -40,9 +40,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_url_filters, op8_suffix_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_url_filters, op8_suffix_dedup, op9_gru_score, op10_simhash)}
 ORACLE = {"op6_url_filters": url_filters.ORACLE_SQL}
