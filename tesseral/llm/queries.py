@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gru_lm, quality_rules, repeats, simhash, token_counts, url_filters
+from . import bpe, byte_cnn, decontaminate, gru_lm, quality_rules, repeats, simhash, token_counts, url_filters
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.score(docs, byte_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,5 +53,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_url_filters, op8_suffix_dedup, op9_gru_score, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_url_filters, op7_byte_cnn, op8_suffix_dedup, op9_gru_score, op10_simhash)}
 ORACLE = {"op6_url_filters": url_filters.ORACLE_SQL}
