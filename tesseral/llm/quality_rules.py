@@ -165,7 +165,7 @@ def verdict(rules: list[Rule]) -> Column:
         test = rule[0].column()
         for t in rule[1:]:
             test = test & t.column()
-        out = (out or F).when(test, F.lit(False))
+        out = (F if out is None else out).when(test, F.lit(False))
     return out.otherwise(F.lit(True)) if out is not None else F.lit(True)
 
 
@@ -182,7 +182,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     wanted = docs.select(*common.doc_columns(docs, "doc_id")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     known = statistics(wanted).filter(~base_failed()).join(F.broadcast(chosen), "doc_id")
-    rows = known.select("doc_id", "quality", *STATS).limit(4 * max_labelled).collect()
+    one = known.groupBy("doc_id", "quality").agg(F.min(F.struct(*STATS)).alias("s"))  # an id's first row only
+    rows = one.select("doc_id", "quality", "s.*").collect()
     rows = sorted(map(tuple, rows))
     if not rows:
         return []

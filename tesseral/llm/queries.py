@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, decontaminate, gru_lm, quality_rules, repeats, simhash, token_counts, url_filters
+from . import bpe, byte_cnn, decontaminate, gru_lm, quality_rules, repeats, simhash, token_counts, url_filters, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.learn_from(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,5 +57,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_url_filters, op7_byte_cnn, op8_suffix_dedup, op9_gru_score, op10_simhash)}
-ORACLE = {"op6_url_filters": url_filters.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_url_filters, op7_byte_cnn, op8_suffix_dedup, op9_gru_score, op10_simhash)}
+ORACLE = {"op2_warc": warc.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL}
