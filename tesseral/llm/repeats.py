@@ -286,22 +286,28 @@ def _cut(table: pa.Table, found: pa.Table) -> pa.Table:
     data, off = common.utf8(table.column("text"))
     cat = lambda n: np.concatenate([np.frombuffer(x, np.int32) for x in found.column(n).to_pylist()] or [np.zeros(0, np.int32)]).astype(np.int64)
     row, first, size = cat("row"), cat("first"), cat("size")
-    begin = off[row] + first
-    mark = np.zeros(len(data) + 1, np.int32)
-    np.add.at(mark, begin, 1)
-    np.add.at(mark, begin + size, -1)
-    gone = np.cumsum(mark[:-1]) > 0
-    edge = gone.copy()
-    edge[1:] &= ~gone[:-1]
-    starts_inside = off[:-1][off[:-1] < len(data)]
-    edge[starts_inside] = gone[starts_inside]
-    total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[off])
-    kept = data[~gone]
+    order = np.argsort(row, kind="stable")
+    row, first, size = row[order], first[order], size[order]
     n_bytes = np.diff(off)
-    n_gone = total(gone)
+    n_gone, n_spans, kept = np.zeros(len(n_bytes), np.int64), np.zeros(len(n_bytes), np.int64), []
+    for i, j in _blocks(off):
+        p, o = slice(*np.searchsorted(row, (i, j))), off[i : j + 1] - off[i]
+        part = data[off[i] : off[j]]
+        begin = o[row[p] - i] + first[p]
+        mark = np.zeros(len(part) + 1, np.int32)
+        np.add.at(mark, begin, 1)
+        np.add.at(mark, begin + size[p], -1)
+        gone = np.cumsum(mark[:-1], dtype=np.int32) > 0
+        edge = gone.copy()
+        edge[1:] &= ~gone[:-1]
+        heads = o[:-1][o[:-1] < len(part)]
+        edge[heads] = gone[heads]  # a span ends with its text
+        for out, x in ((n_gone, gone), (n_spans, edge)):
+            out[i:j] = np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int32)))[o])
+        kept.append(part[~gone].tobytes())
     to = np.concatenate(([0], np.cumsum(n_bytes - n_gone)))
-    left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n_bytes), [None, pa.py_buffer(to.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
-    extra = {"n_bytes": pa.array(n_bytes), "n_removed": pa.array(n_gone), "n_spans": pa.array(total(edge)), "kept": left}
+    left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n_bytes), [None, pa.py_buffer(to.astype(np.int64).tobytes()), pa.py_buffer(b"".join(kept))]).cast(pa.binary())
+    extra = {"n_bytes": pa.array(n_bytes), "n_removed": pa.array(n_gone), "n_spans": pa.array(n_spans), "kept": left}
     for n, c in extra.items():
         table = table.append_column(n, c)
     return table
