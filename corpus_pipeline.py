@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesseral.llm import bpe, decontaminate, quality_rules, repeats, simhash
 from tesseral.llm.common import new_path, table
@@ -28,8 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte windows that an earlier document has too are cut out of the text."""
-    return repeats.keep_first(docs)
+    """Byte windows that an earlier document has too are cut out of the text; n_chars follows."""
+    out = repeats.keep_first(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
