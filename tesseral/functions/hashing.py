@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 MASK = 0xFFFFFFFF
 
@@ -36,7 +37,7 @@ def murmur2_value(data: bytes, seed: int = 0xC58F1A7A) -> int:
     return h ^ h >> 15
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def murmur2(text: pd.Series) -> pd.Series:
     distinct = {t: murmur2_value(t.encode()) for t in text.dropna().unique()}
     return text.map(distinct).astype("Int64")
