@@ -170,8 +170,12 @@ def lanes(lengths: np.ndarray, count: int) -> list[list[int]]:
     return out
 
 
-def pack(ids: np.ndarray, off: np.ndarray, count: int):
-    """(inputs, targets, fresh, position) as (time, lane) arrays; padding has target -1."""
+def pack(ids: np.ndarray, off: np.ndarray, count: int, heads: np.ndarray | None = None):
+    """(inputs, targets, fresh, position) as (time, lane) arrays; padding has target -1.
+
+    The state is fresh at each ``off``; the input is the start word at ``heads`` (all of ``off`` if
+    not given) and the word before elsewhere.
+    """
     dealt = lanes(np.diff(off), count)
     order = [np.concatenate([np.arange(off[d], off[d + 1]) for d in lane] or [np.zeros(0, np.int64)]) for lane in dealt]
     steps = max(map(len, order), default=0)
@@ -183,13 +187,23 @@ def pack(ids: np.ndarray, off: np.ndarray, count: int):
     first[off[:-1]] = True
     fresh = first[at] | ~live
     y = np.where(live, ids[at], -1)
-    x = np.where(fresh, VOCABULARY, ids[np.maximum(at - 1, 0)])
+    begin = fresh
+    if heads is not None:
+        start = np.zeros(len(ids) + 1, bool)
+        start[heads] = True
+        begin = start[at] | ~live
+    x = np.where(begin, VOCABULARY, ids[np.maximum(at - 1, 0)])
     return x, y, fresh, at
 
 
 def train(net: Network, ids: np.ndarray, off: np.ndarray) -> Network:
-    """One pass of truncated backpropagation with Adam steps; the state is carried between windows."""
-    x, y, fresh, _ = pack(ids, off, TRAIN_LANES)
+    """One pass of truncated backpropagation with Adam steps; the state is carried between windows.
+
+    Long texts are cut where the lanes would get uneven, else the last steps would see one text only.
+    """
+    fair = max(4 * TRAIN_WINDOW, len(ids) // TRAIN_LANES)
+    cuts = np.concatenate([np.arange(a, b, fair) for a, b in zip(off[:-1].tolist(), off[1:].tolist())] + [off[-1:]])
+    x, y, fresh, _ = pack(ids, cuts, TRAIN_LANES, off[:-1])
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
     m, v = np.zeros(Network.SIZE, np.float32), np.zeros(Network.SIZE, np.float32)
     for k, t in enumerate(range(0, len(x), TRAIN_WINDOW), 1):
