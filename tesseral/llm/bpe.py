@@ -24,7 +24,7 @@ from . import common
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 #: Pieces whose encodings one Python worker remembers at most.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 240_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -93,7 +93,7 @@ class PrefixBPE:
                     a = self.split[a][1]
                     if a == limit:
                         answer = True
-        if len(self._fits) >= 1_000_000:
+        if len(self._fits) >= 400_000:
             self._fits.clear()
         self._fits[left * self.size + right] = answer
         return answer
@@ -255,7 +255,7 @@ def _run(docs: DataFrame, path: str, pattern: str | None, ids_out: bool) -> Data
 
     pattern, standard = pattern or public_tokenizers.PATTERN, public_tokenizers.PATTERN
     base = docs.select(*common.doc_columns(docs, "doc_id"))
-    return base.mapInArrow(lambda it: encode_batches(it, path, pattern, standard, ids_out), IDS_SCHEMA if ids_out else SCHEMA)
+    return base.mapInArrow(common.tidy(lambda it: encode_batches(it, path, pattern, standard, ids_out)), IDS_SCHEMA if ids_out else SCHEMA)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:

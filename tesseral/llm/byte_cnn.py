@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                     rows.append(chunk_matrix(data, off, np.full(len(index), i), index).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "chunks"])
 
-    rows = known.select("doc_id", "quality", "text").mapInArrow(cut, "doc_id long, quality int, chunks binary")
+    rows = known.select("doc_id", "quality", "text").mapInArrow(common.tidy(cut), "doc_id long, quality int, chunks binary")
     rows = rows.groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks")).collect()  # an id's first row only
     rows = sorted((r["doc_id"], r["quality"], bytes(r["chunks"])) for r in rows)
     return fit([np.frombuffer(c, np.int16).reshape(-1, CHUNK) for _, _, c in rows], np.array([q for _, q, _ in rows], np.float32))
@@ -176,4 +176,4 @@ def score(docs: DataFrame, net: ByteCNN) -> DataFrame:
                 p = model.score(*common.utf8(b.column("text")))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return base.mapInArrow(run, SCHEMA)
+    return base.mapInArrow(common.tidy(run), SCHEMA)

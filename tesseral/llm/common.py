@@ -1,6 +1,8 @@
 """Shared plumbing of the corpus operators: Arrow text access, checkpoints, shards."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 #: Characters between words wherever a contract says ``[^\x20\x09-\x0D]+``.
 WORD_BREAKS = "\t\n\x0b\x0c\r "
 #: Text bytes one shard should hold; shards are the unit a Python task keeps in memory.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 5 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -108,3 +110,47 @@ def pieces(batch: pa.RecordBatch, limit: int = 16 << 20):
             yield batch.slice(i, step)
     elif batch.num_rows:
         yield batch
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on, and so would their peaks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(f):
+    """A batch function that trims when its task ends."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def tidy_group(f):
+    """A function of one group's table that trims after each group."""
+
+    def run(table):
+        out = f(table)
+        trim()
+        return out
+
+    return run
+
+
+def tidy_pair(f):
+    """A function of two cogrouped tables that trims after each pair."""
+
+    def run(left, right):
+        out = f(left, right)
+        trim()
+        return out
+
+    return run

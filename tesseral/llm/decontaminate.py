@@ -194,7 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         rows = sorted((r["item"], r["text"].encode()) for r in part.toLocalIterator())
         sent = spark.sparkContext.broadcast(((k, blocks, hash(tuple(rows))), rows))
-        out = out.mapInArrow(lambda it, sent=sent: _match_batches(it, sent), fields)
+        out = out.mapInArrow(common.tidy(lambda it, sent=sent: _match_batches(it, sent)), fields)
         if (k + 1) % BLOCKS_A_PASS == 0 and k + 1 < blocks:
             out = common.materialise(out, "leaks")
     return out

@@ -31,6 +31,8 @@ FRACTION, LEAST_TOKENS = 32, 8_000
 ROUNDS = 3
 TRAIN_LANES, TRAIN_WINDOW = 24, 16
 SCORE_LANES, SCORE_WINDOW = 512, 16
+#: States whose softmax is computed together.
+SOFTMAX_ROWS = 16_384
 RATE = 0.006
 END = b""
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -75,10 +77,16 @@ class Network:
         out = np.empty((len(x), x.shape[1], HIDDEN), np.float32)
         saved = []
         two = 2 * HIDDEN
+        some = fresh.any(1)
         for t in range(len(x)):
-            h = h * (~fresh[t])[:, None]
+            if some[t]:
+                h = h * (~fresh[t])[:, None]
             gx, gh = table[x[t]], h @ self.wh
-            rz = 0.5 + 0.5 * np.tanh(0.5 * (gx[:, :two] + gh[:, :two]))
+            rz = gx[:, :two] + gh[:, :two]
+            rz *= 0.5
+            np.tanh(rz, out=rz)
+            rz *= 0.5
+            rz += 0.5
             r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
             n = np.tanh(gx[:, two:] + r * gh[:, two:])
             if keep:
@@ -224,7 +232,15 @@ def score_tokens(net: Network, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     x, y, fresh, at = pack(ids, off, SCORE_LANES)
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
     out = np.zeros(len(ids))
-    live = (at >= 0).sum(1)
+    waiting, size = [], 0
+
+    def settle() -> None:
+        """Softmax of many windows at once: late windows have few lanes left."""
+        if waiting:
+            place, state, word = (np.concatenate(c) for c in zip(*waiting))
+            out[place] = net.log_probabilities(state, word)
+            waiting.clear()
+
     for t in range(0, len(x), SCORE_WINDOW):
         w = slice(t, t + SCORE_WINDOW)
         n = int((at[t] >= 0).sum())
@@ -234,7 +250,12 @@ def score_tokens(net: Network, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
         states, h = net.steps(x[w], fresh[w], h)
         here = at[w].ravel()
         on = np.flatnonzero(here >= 0)
-        out[here[on]] = net.log_probabilities(states.reshape(-1, HIDDEN)[on], y[w].ravel()[on])
+        waiting.append((here[on], states.reshape(-1, HIDDEN)[on], y[w].ravel()[on]))
+        size += len(on)
+        if size >= SOFTMAX_ROWS:
+            settle()
+            size = 0
+    settle()
     return out
 
 
@@ -383,8 +404,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, rounds: int = R
     base = docs.select(*common.doc_columns(docs, "doc_id")).withColumn("held_out", held_out_column(F.col("doc_id"), modulus, remainder))
     mixed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     shards = base.withColumn("shard", F.pmod(mixed, F.lit(n)).cast("int")).repartition(n, "shard")
-    asked = shards.groupBy("shard").applyInArrow(lambda t: _asked(t, n), "kind int, shard int, bucket int, tokens binary, counts binary")
-    found = common.materialise(asked.groupBy("bucket").applyInArrow(_answered, _R), "counts")
+    asked = shards.groupBy("shard").applyInArrow(common.tidy_group(lambda t: _asked(t, n)), "kind int, shard int, bucket int, tokens binary, counts binary")
+    found = common.materialise(asked.groupBy("bucket").applyInArrow(common.tidy_group(_answered), _R), "counts")
     sums = found.where("kind = 2")
     total = sums.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = total["n"] or 0, total["v"] or 0
@@ -400,4 +421,4 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, rounds: int = R
         flat = tree_mean(models, n) or flat
     replies = found.where("kind = 0").select("shard", "bucket", "counts")
     final = spark.sparkContext.broadcast((flat, number))
-    return shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(lambda a, b: _scored(a, b, *final.value, n_all, v_all, n_rest, v_rest, n), SCHEMA)
+    return shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(common.tidy_pair(lambda a, b: _scored(a, b, *final.value, n_all, v_all, n_rest, v_rest, n)), SCHEMA)

@@ -68,7 +68,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *STATS])
 
-    return docs.select(*common.doc_columns(docs, "doc_id")).mapInArrow(run, SCHEMA)
+    return docs.select(*common.doc_columns(docs, "doc_id")).mapInArrow(common.tidy(run), SCHEMA)
 
 
 def ratio(a, b):
@@ -221,6 +221,6 @@ def filter_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *STATS])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields)
-    out = inner.mapInArrow(run, fields + ", " + ", ".join(f"{s} long" for s in STATS))
+    out = inner.mapInArrow(common.tidy(run), fields + ", " + ", ".join(f"{s} long" for s in STATS))
     kept = out.filter(~base_failed() & verdict(rules))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 fps = np.array([fingerprint(t, words) for t in common.blobs(b.column(1))], np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(*common.doc_columns(docs, "doc_id")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*common.doc_columns(docs, "doc_id")).mapInArrow(common.tidy(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -218,7 +218,7 @@ def links(distinct: DataFrame, radius: int, partitions: int) -> DataFrame:
     else:
         zero = F.lit(0).cast("long")
         rows = rows.select("t", "v", zero.alias("lo"), zero.alias("hi"), zero.alias("own"), "fp")
-    return rows.repartition(partitions, "t", "v", "lo", "hi").mapInArrow(lambda it: _link_partition(it, radius), "u long, v long")
+    return rows.repartition(partitions, "t", "v", "lo", "hi").mapInArrow(common.tidy(lambda it: _link_partition(it, radius)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

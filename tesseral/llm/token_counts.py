@@ -208,4 +208,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     and text are read, so other columns do not matter.  One pass, no shuffle; memory is one batch
     slice and the bounded piece memory.
     """
-    return docs.select(*common.doc_columns(docs, "doc_id")).mapInArrow(lambda it: count_batches(it, path, limit), SCHEMA)
+    return docs.select(*common.doc_columns(docs, "doc_id")).mapInArrow(common.tidy(lambda it: count_batches(it, path, limit)), SCHEMA)
