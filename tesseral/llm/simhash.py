@@ -30,24 +30,34 @@ TREE_NODES = 2048
 BROADCAST_ROWS = 100_000
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """SimHash of A-Z-lower-cased word shingles; no words: zero."""
+def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each A-Z-lower-cased word shingle, repeats included; fewer words: the whole sequence."""
     w = text.lower().split()  # of bytes: ASCII rules only
     if not w:
-        return 0
-    if len(w) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(w), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
+    if len(w) <= words:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     hash_of = xxhash.xxh64_digest
     n = len(w) - words + 1
     packed = b"".join([hash_of(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())])
+    return np.frombuffer(packed, ">u8").astype(np.uint64)
+
+
+def fold(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; none: zero."""
     ones = np.zeros(BITS, np.int64)
-    raw = np.frombuffer(packed, np.uint8).reshape(n, 8)
-    for i in range(0, n, 1 << 15):
-        ones += np.unpackbits(raw[i : i + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    for i in range(0, len(hashes), 1 << 15):
+        part = np.ascontiguousarray(hashes[i : i + (1 << 15)].astype(">u8")).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """SimHash of A-Z-lower-cased word shingles; no words: zero."""
+    return fold(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -196,6 +206,29 @@ def _link_partition(batches, radius: int):
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` (t, v: the shard) with own, lo and hi: the row's chunk and the pair of chunks it goes to.
+
+    Shards of up to TREE_NODES rows have one chunk; a larger one has a cell for each pair of its chunks.
+    """
+    names = rows.columns
+    crowded = rows.groupBy("t", "v").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > TREE_NODES)
+    crowded = common.materialise(crowded.select("t", "v", F.ceil(F.col("n_rows") / TREE_NODES).alias("chunks")), "crowded")
+    n_crowded = crowded.count()
+    zero = F.lit(0).cast("long")
+    if not n_crowded:
+        return rows.select(*names, zero.alias("own"), zero.alias("lo"), zero.alias("hi"))
+    rows = rows.join(F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded, ["t", "v"], "left")
+    return in_pairs(rows.withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long"))), by, names)
+
+
+def in_pairs(rows: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """A row for each pair of chunks that the row's own chunk (of ``chunks``, by its hashed ``by``) is in."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(by), F.col("chunks")))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return rows.select(*names, "own", F.least("own", "x").alias("lo"), F.greatest("own", "x").alias("hi"))
+
+
 def links(distinct: DataFrame, radius: int, partitions: int) -> DataFrame:
     """(u, v): links between the fingerprints of ``distinct`` (column fp) that span all their classes.
 
@@ -207,18 +240,8 @@ def links(distinct: DataFrame, radius: int, partitions: int) -> DataFrame:
     tables = masks(radius, distinct.count())
     cells = [F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(tables)]
     rows = distinct.select("fp", F.inline(F.array(*cells)))
-    crowded = rows.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") > TREE_NODES)
-    crowded = common.materialise(crowded.select("t", "v", F.ceil(F.col("n") / TREE_NODES).alias("chunks")), "crowded")
-    n_crowded = crowded.count()
-    if n_crowded:
-        rows = rows.join(F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded, ["t", "v"], "left")
-        rows = rows.withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
-        rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        rows = rows.select("t", "v", F.least("own", "x").alias("lo"), F.greatest("own", "x").alias("hi"), "own", "fp")
-    else:
-        zero = F.lit(0).cast("long")
-        rows = rows.select("t", "v", zero.alias("lo"), zero.alias("hi"), zero.alias("own"), "fp")
-    return rows.repartition(partitions, "t", "v", "lo", "hi").mapInArrow(common.tidy(lambda it: _link_partition(it, radius)), "u long, v long")
+    rows = dealt(rows, "fp")
+    return rows.repartition(partitions, "t", "v", "lo", "hi").select("t", "v", "lo", "hi", "own", "fp").mapInArrow(common.tidy(lambda it: _link_partition(it, radius)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
