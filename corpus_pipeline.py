@@ -9,12 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import bpe, decontaminate, quality_rules, repeats, simhash
+from tesseral.llm import bpe, decontaminate, quality_rules, repeats, similar
 from tesseral.llm.common import new_path, table
 
-#: Near-duplicate stage: five-word shingles; the widest radius at which unrelated fingerprints do
-#: not meet by chance at this scale.
-NEAR_WORDS, NEAR_RADIUS = 5, 6
+#: Near-duplicates share this much of their five-word shingles.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -25,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates stays."""
-    return simhash.keep_one(docs, NEAR_WORDS, NEAR_RADIUS)
+    return similar.keep_one(docs, NEAR_WORDS, NEAR_SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
