@@ -1,7 +1,7 @@
 """Control folds over time series: PID, heater duty, sensor words, latest status."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +39,10 @@ class PID:
     def reset(self) -> None:
         self.integral = self.last_error = 0.0
 
+    def update(self, **changed: float) -> None:
+        """New values for some of the gains and limits; the others and the state stay."""
+        self.gains = replace(self.gains, **{k: v for k, v in changed.items() if v is not None})
+
 
 def seconds_between(ts: str, order: Window) -> Column:
     """Seconds since the key's previous row (microsecond exact); 0 for the first."""
@@ -116,9 +120,35 @@ def latest(series: DataFrame, key: str, order: list[str], values: list[str]) ->
     return top.select(key, "v.*")
 
 
-def kettle(power: Column, ticks: Column, start: float = 20.0, rate: float = 0.5, lag: int = 3) -> Column:
-    """Temperature after ``ticks`` of a kettle that warms (power > 0) or cools and lags behind the switch."""
-    way = F.when(power > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    first = F.struct(F.lit(start).alias("t"), F.lit(0.0).alias("heat"))
-    step = lambda s, _: F.struct(F.greatest(F.lit(0.0), F.least(F.lit(100.0), s["t"] + s["heat"] * rate)).alias("t"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s["heat"] + way / float(lag))).alias("heat"))
+def readings(series: DataFrame, target: float, value: str = "value") -> DataFrame:
+    """Adds ``error`` = target - reading; failed readings (null) are skipped, so the fold does not see them."""
+    return series.where(F.col(value).isNotNull()).withColumn("error", F.lit(float(target)) - F.col(value))
+
+
+def duty_phases_legacy(power: Column, cycle_s: float, least_s: float) -> Column:
+    """The older heater cycle: power is not clamped, so a phase may outlast the cycle or be left out."""
+    on = power / 100.0 * cycle_s
+    phase = lambda name, s: F.struct(F.lit(name).alias("state"), s.alias("seconds"))
+    return F.concat(F.when(on > least_s, F.array(phase("on", on))).otherwise(F.array().cast("array<struct<state:string,seconds:double>>")), F.when(on < cycle_s - least_s, F.array(phase("off", F.lit(cycle_s) - on))).otherwise(F.array().cast("array<struct<state:string,seconds:double>>")))
+
+
+#: Kettle constants: degrees per second heating and cooling, seconds per tick, degrees per tick and
+#: step of inertia, and the bounds of the inertia count.
+HEAT, COOL, TICK, INERTIA, MOST, LEAST = 0.06, -0.03, 0.1, 0.0005, 60, -6
+
+
+def kettle(heating: Column, ticks: Column, start: float = 0.0) -> Column:
+    """Temperature after ``ticks`` of a kettle that heats or cools from ``start``.
+
+    Inertia counts up to MOST while heating and down to LEAST while cooling; a tick adds its rate and
+    its inertia as long as the temperature is below 100 (heating) or above 0 (cooling).
+    """
+    first = F.struct(F.lit(float(start)).alias("t"), F.lit(0).alias("n"))
+
+    def step(s, _):
+        n = F.when(heating, F.least(s["n"] + 1, F.lit(MOST))).otherwise(F.greatest(s["n"] - 1, F.lit(LEAST)))
+        rate = F.when(heating, F.lit(TICK * HEAT)).otherwise(F.lit(TICK * COOL))
+        moves = F.when(heating, s["t"] < 100).otherwise(s["t"] > 0)
+        return F.struct(F.when(moves, s["t"] + rate + F.lit(INERTIA) * n).otherwise(s["t"]).alias("t"), n.alias("n"))
+
     return F.aggregate(F.sequence(F.lit(1), ticks), first, step, lambda s: s["t"])

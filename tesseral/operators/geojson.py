@@ -146,6 +146,14 @@ def flatten(docs: DataFrame, strict: bool = False) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "doc").mapInPandas(run, FEATURES)
 
 
+def having(features: DataFrame, kind: str | None = None, has: str | None = None, lacks: str | None = None) -> DataFrame:
+    """Features of one geometry type, with one property and without another."""
+    held = lambda k: F.exists("props", lambda p: p["key"] == k)
+    for test in ((F.col("type") == kind) if kind else None, held(has) if has else None, ~held(lacks) if lacks else None):
+        features = features if test is None else features.where(test)
+    return features
+
+
 def bounding_box(features: DataFrame) -> DataFrame:
     """min_lng, max_lng, min_lat, max_lat of each document: a combining aggregate over vertices."""
     v = features.select("doc_id", F.explode(F.flatten("rings")).alias("p"))

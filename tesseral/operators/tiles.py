@@ -149,6 +149,15 @@ def encode_tiles(features: DataFrame, extent: int = EXTENT) -> DataFrame:
     return features.groupBy("z", "x", "y").applyInPandas(frame, TILE_BYTES)
 
 
+def save_tiles(tiles: DataFrame, path: str) -> None:
+    """Tiles as a Parquet store, a folder for each zoom and rows sorted by x, y: a tile is one range read."""
+    tiles.repartitionByRange("z", "x", "y").sortWithinPartitions("z", "x", "y").write.partitionBy("z").parquet(path)
+
+
+def load_tiles(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def read_varint(data: bytes, at: int) -> tuple[int, int]:
     n = shift = 0
     while True:

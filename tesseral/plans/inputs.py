@@ -65,6 +65,24 @@ def documents_geojson(spark, d):
     return c.select(F.col("id").alias("doc_id"), F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), props.alias("properties"))).alias("doc"))
 
 
+def documents_kml(spark, d):
+    """A KML document with a shared style for each customer."""
+    c = cities(spark, d, "c_name")
+    head = '<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Style id="a"><LineStyle><color>80112233</color><width>2</width></LineStyle></Style><Folder><Placemark><name>'
+    at = F.concat(F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit(",0"))
+    tail = "</coordinates></Point></Placemark></Folder></Document></kml>"
+    return c.select(F.col("id").alias("doc_id"), F.concat(F.lit(head), "c_name", F.lit("</name><styleUrl>#a</styleUrl><Point><coordinates>"), at, F.lit(tail)).alias("doc"))
+
+
+def documents_collections(spark, d):
+    """A feature collection for each order: its positions as points, as a line and as a closed ring."""
+    t = tracks(spark, d).withColumn("ps", F.zip_with("lons", "lats", lambda a, b: F.array(a, b)))
+    shape = lambda kind, c: F.concat(F.lit('{"type":"' + kind + '","coordinates":'), c, F.lit("}"))
+    ring = F.concat(F.lit("["), F.to_json(F.concat("ps", F.slice("ps", 1, 1))), F.lit("]"))
+    whole = F.concat(F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","properties":null,"geometry":{"type":"GeometryCollection","geometries":['), shape("MultiPoint", F.to_json("ps")), F.lit(","), shape("LineString", F.to_json("ps")), F.lit("]}},"), F.lit('{"type":"Feature","properties":{},"geometry":'), shape("Polygon", ring), F.lit("}]}"))
+    return t.select(F.col("l_orderkey").alias("doc_id"), whole.alias("doc"))
+
+
 def _sql_placed(table: str, key: str, *keep: str) -> str:
     more = "".join(f", {k}" for k in keep)
     return f"SELECT {key} AS id, (({key} * 7919) % 3600000) / 10000.0::DOUBLE - 180.0::DOUBLE AS lon, (({key} * 104729) % 1700000) / 10000.0::DOUBLE - 85.0::DOUBLE AS lat{more} FROM {table}"

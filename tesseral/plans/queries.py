@@ -1,13 +1,17 @@
 """Registered queries of the spatial, tile, keyed, control, log and routing operators, with their SQL."""
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import curve, geodesy, geohash, hashing, projection
-from ..functions.numbers import zigzag
+from ..functions.numbers import interpolate, zigzag
 from ..operators import control, geojson, geometry, keyed, replog, routing, spatial, tiles
-from ..sources import text
+from ..sources import kml, text
+from ..streaming import keyed as streams
 from . import inputs, ranges
 from .inputs import SQL_CENTRES, SQL_CITIES, SQL_POIS, table
 
@@ -608,7 +612,7 @@ def log_commit_index(spark, d):
     m = e.groupBy(leader, (F.col("user_id") % 5).alias("server")).agg(F.max("event_id").alias("match_index"))
     m = m.unionByName(e.select(leader, F.lit(5).cast("long").alias("server"), F.lit(last).alias("match_index")).distinct())
     own = inputs.commands(spark, d).select("index", "term")
-    log = m.select("leader").distinct().join(own.where(F.col("term") == last // 1000 + 1), F.lit(True))
+    log = own.where(F.col("term") == last // 1000 + 1).withColumn("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
     return replog.commit_index(log, m, last // 1000 + 1)
 
 
@@ -636,19 +640,76 @@ def log_matching(spark, d):
     return replog.mismatched(_server_logs(spark, d))
 
 
-@query("""WITH f AS (SELECT s AS server, event_id AS index, CASE WHEN event_id >= 400 * s THEN 1 ELSE 2 END AS term, 'old' AS command FROM events, (VALUES (1), (2), (3)) t(s) WHERE event_id < 900),
-e AS (SELECT s AS server, event_id AS index, 2 AS term, event_type AS command FROM events, (VALUES (1), (2), (3)) t(s) WHERE event_id BETWEEN 300 AND 950),
+@query("""WITH m AS (SELECT max(event_id) AS top FROM events),
+f AS (SELECT s AS server, event_id AS index, CASE WHEN event_id >= top * s // 4 THEN 1 ELSE 2 END AS term, 'old' AS command FROM events, m, (VALUES (1), (2), (3)) t(s) WHERE event_id <= top - 10 * s),
+e AS (SELECT s AS server, event_id AS index, 2 AS term, event_type AS command FROM events, (VALUES (1), (2), (3)) t(s)),
 c AS (SELECT server, min(f.index) AS cut FROM f JOIN e USING (server, index) WHERE f.term <> e.term GROUP BY server),
 k AS (SELECT f.* FROM f LEFT JOIN c USING (server) WHERE cut IS NULL OR f.index < cut)
 SELECT server, index, term, command FROM k UNION ALL SELECT server, index, term, command FROM e WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.server = e.server AND k.index = e.index)""")
 def log_conflict(spark, d):
-    """Followers with diverging tails take a leader's entries."""
-    e = table(spark, d, "events").select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("server"), F.col("event_id").alias("index"), "event_type")
-    f = e.where("index < 900").select("server", "index", F.when(F.col("index") >= F.col("server") * 400, 1).otherwise(2).alias("term"), F.lit("old").alias("command"))
-    new = e.where("index between 300 and 950").select("server", "index", F.lit(2).alias("term"), F.col("event_type").alias("command"))
+    """Followers with diverging and short tails take all of a leader's entries."""
+    events = table(spark, d, "events")
+    top = events.agg(F.max("event_id").alias("m")).first()["m"]
+    e = events.select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("server"), F.col("event_id").alias("index"), "event_type")
+    f = e.where(F.col("index") <= F.lit(top) - 10 * F.col("server")).select("server", "index", F.when(F.col("index") >= F.floor(F.lit(top) * F.col("server") / 4), 1).otherwise(2).alias("term"), F.lit("old").alias("command"))
+    new = e.select("server", "index", F.lit(2).alias("term"), F.col("event_type").alias("command"))
     return replog.append_entries(f, new)
 
 
+@query("SELECT s AS server, event_id AS prev_index, event_id = 0 OR event_id % 7 <> 0 AS ok FROM events, (VALUES (1), (2), (3)) t(s)")
+def log_consistent(spark, d):
+    """Probes of every entry; those of every seventh index name a wrong term."""
+    f = _server_logs(spark, d)
+    probes = f.select("server", F.col("index").alias("prev_index"), F.when(F.col("index") % 7 == 0, F.col("term") + 1).otherwise(F.col("term")).alias("prev_term"))
+    return replog.consistent(f, probes).select("server", "prev_index", "ok")
+
+
+@query("SELECT event_id, event_id % 5 > 2 OR (event_id % 5 = 2 AND user_id >= 50) AS newer FROM events")
+def log_up_to_date(spark, d):
+    return table(spark, d, "events").select("event_id", replog.up_to_date(F.col("event_id") % 5, F.col("user_id"), F.lit(2), F.lit(50)).alias("newer"))
+
+
+@query("WITH m AS (SELECT max(event_id) AS top FROM events) SELECT event_id AS index, event_id // 1000 + 1 AS term FROM events, m WHERE event_id > top // 2")
+def log_apply(spark, d):
+    """Entries between what was applied (half of the log) and what is committed (all of it)."""
+    log = inputs.commands(spark, d)
+    top = log.agg(F.max("index").alias("m")).first()["m"]
+    return replog.to_apply(log, top // 2, top).select("index", "term")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN greatest(event_id % 50, 1) ELSE event_id % 50 + 1 + user_id % 4 END AS next_index FROM events")
+def log_next_index(spark, d):
+    replies = table(spark, d, "events").select("event_id", (F.col("event_id") % 50 + 1).alias("next_index"), (F.col("event_type") != "error").alias("success"), (F.col("user_id") % 4).alias("sent"))
+    return replog.next_index(replies).select("event_id", "next_index")
+
+
+@query("WITH s AS (SELECT user_id::VARCHAR AS name, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v, max(event_id) AS index FROM events GROUP BY 1) SELECT name, printf('%.2f', round(v, 2)) AS value, index, (SELECT max(event_id) FROM events) - index AS behind FROM s WHERE t <> 'error' AND name = '7'")
+def log_setting(spark, d):
+    log = replog.parse_commands(inputs.commands(spark, d))
+    commit = log.agg(F.max("index").alias("m")).first()["m"]
+    return replog.read_setting(replog.state(log), "7", commit)
+
+
+@query("SELECT event_id // 500 AS term, count(DISTINCT user_id % 3) AS leaders FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 3) > 1")
+def log_two_leaders(spark, d):
+    """Every claim counts as an election here, so that unsafe terms exist to be found."""
+    return replog.two_leaders(table(spark, d, "events").select(F.floor(F.col("event_id") / 500).alias("term"), (F.col("user_id") % 3).alias("candidate")))
+
+
+@query(f"SELECT index, count(DISTINCT command) AS commands FROM ({_SERVERS}) GROUP BY 1 HAVING count(DISTINCT command) > 1")
+def log_diverged(spark, d):
+    log = _server_logs(spark, d)
+    return replog.diverged_state(log, log.select("server", "index"))
+
+
+@query("SELECT s AS leader, event_id AS index FROM events, (VALUES (1), (2)) t(s) WHERE s = 2 AND event_id % 31 = 0")
+def log_incomplete(spark, d):
+    """Committed entries that the second of two later leaders lacks."""
+    committed = inputs.commands(spark, d).select("index", "term")
+    held = committed.withColumn("leader", F.explode(F.array(F.lit(1), F.lit(2)))).where(~((F.col("leader") == 2) & (F.col("index") % 31 == 0)))
+    return replog.incomplete_leaders(committed, held.withColumn("leader_term", F.lit(1 << 40))).select("leader", "index")
+
+
 # --- routing
 
 
@@ -670,3 +731,127 @@ def route_unknown(spark, d):
 def route_acknowledge(spark, d):
     kind = F.element_at(F.array(F.lit("SENSOR:"), F.lit("HEARTBEAT:"), F.lit("ALERT:"), F.lit("OTHER:")), (F.col("event_id") % 4 + 1).cast("int"))
     return table(spark, d, "events").select("event_id", routing.acknowledgement(F.concat(kind, F.col("user_id").cast("string"))).alias("reply"))
+
+
+# --- more documents, styles, indexes
+
+
+@query(f"SELECT id AS doc_id, c_name AS name, 'Point' AS type, {sr('lon')} AS lng, {sr('lat')} AS lat, '#33221180' AS line_color, 2.0::DOUBLE AS line_width, true AS filled FROM ({SQL_CITIES})")
+def kml_features(spark, d):
+    f = kml.flatten(inputs.documents_kml(spark, d))
+    p = F.col("rings")[0][0]
+    return f.select("doc_id", "name", "type", r(p["lng"]).alias("lng"), r(p["lat"]).alias("lat"), "line_color", "line_width", "filled")
+
+
+@query("""WITH k AS (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS doc_id, 'Point' AS type, k AS features, k AS vertices FROM k
+UNION ALL SELECT l_orderkey, 'LineString', 1, k FROM k WHERE k >= 2 UNION ALL SELECT l_orderkey, 'Polygon', 1, k FROM k WHERE k >= 3""")
+def geojson_collections(spark, d):
+    """Collections of multi-points, lines and closed rings, taken apart."""
+    f = geojson.flatten(inputs.documents_collections(spark, d)).select("doc_id", "type", F.size(F.flatten("rings")).alias("n"))
+    return f.groupBy("doc_id", "type").agg(F.count("*").alias("features"), F.sum("n").alias("vertices"))
+
+
+@query(f"SELECT doc_id FROM ({_JSON})")
+def geojson_having(spark, d):
+    """Points with a name and without a colour."""
+    return geojson.having(geojson.flatten(inputs.documents_geojson(spark, d)), "Point", "name", "colour").select("doc_id")
+
+
+_STOPS = [(0.0, 2.0), (25.0, 6.0), (75.0, 12.0), (200.0, 20.0)]
+
+
+@query("SELECT event_id, round(CASE WHEN value <= 0 THEN 2 WHEN value <= 25 THEN 2 + value / 25 * 4 WHEN value <= 75 THEN 6 + (value - 25) / 50 * 6 WHEN value <= 200 THEN 12 + (value - 75) / 125 * 8 ELSE 20 END, 6) + 0.0::DOUBLE AS radius FROM events")
+def style_interpolate(spark, d):
+    return table(spark, d, "events").select("event_id", r(interpolate(F.col("value"), _STOPS)).alias("radius"))
+
+
+@query("SELECT prefix, count(*) AS n FROM (SELECT substr({}, 1, k) AS prefix FROM (SELECT {} AS c, {} AS r FROM ({})), (VALUES (1), (2), (3), (4), (5), (6), (7)) t(k)) GROUP BY 1".format(s_geohash("c", "r", 7), *s_cells("lon", "lat", 7), SQL_CITIES))
+def geohash_postings(spark, d):
+    points = inputs.cities(spark, d).select("id", geohash.encode(F.col("lon"), F.col("lat"), 7).alias("gh"))
+    return spatial.postings(points).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {s_tile_points(SQL_CITIES)} SELECT x, y, id FROM drawn")
+def tile_indexed_points(spark, d):
+    """Tiles drawn from a prefix index of buffered tiles: the same points as a full scan."""
+    c = inputs.cities(spark, d)
+    wanted = tiles.tile_points(c, ZOOM).select("z", "x", "y").distinct()
+    keyed_points = c.withColumn("gh", geohash.encode(F.col("lon"), F.col("lat"), 7))
+    found = spatial.prefix_lookup(keyed_points, spatial.tile_prefixes(wanted, buffered=True))
+    px, py = projection.pixel(F.col("lon"), F.col("lat"), F.col("z"), F.col("x"), F.col("y"))
+    return found.where(projection.in_buffer(px, py)).select("x", "y", "id").distinct()
+
+
+# --- more control
+
+
+@query("SELECT user_id, '{\"user_id\":' || user_id || ',\"event_type\":\"' || arg_max(event_type, (ts, event_id)) || '\"}' AS status FROM events GROUP BY user_id")
+def status_json(spark, d):
+    s = control.latest(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"])
+    return s.select("user_id", F.to_json(F.struct("user_id", "event_type")).alias("status"))
+
+
+@query("SELECT user_id, event_id, value, 65.0::DOUBLE AS target FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k % 2 = 0")
+def chart_samples(spark, d):
+    """Every second poll of each series, with the target beside it."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").withColumn("k", F.row_number().over(w)).where("k % 2 = 0").select("user_id", "event_id", "value", F.lit(65.0).alias("target"))
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT user_id, event_id, e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, 65.0 - value AS e FROM events WHERE event_type <> 'error')), f AS (
+  SELECT user_id, event_id, k, e, least(greatest(e, -1000.0), 1000.0)::DOUBLE AS i, e AS d FROM s WHERE k = 1
+  UNION ALL
+  SELECT s.user_id, s.event_id, s.k, s.e, least(greatest(f.i + s.e, -1000.0), 1000.0)::DOUBLE, s.e - f.e FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1
+) SELECT user_id, event_id, {sr('least(greatest(5.0 * e + 0.007 * i + 1.0 * d, 0.0), 100.0)')} AS output FROM f""")
+def control_loop(spark, d):
+    """A fixed sampling time of one second; readings that failed (here: errors) are skipped."""
+    read = table(spark, d, "events").select("user_id", "event_id", "ts", F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+    steps = control.readings(read, 65.0).withColumn("dt", F.lit(1.0))
+    out = control.pid_clamped(steps, "user_id", ["ts", "event_id"], "error", "dt", GAINS)
+    return out.select("user_id", "event_id", r(F.col("output")).alias("output"))
+
+
+@query("WITH p AS (SELECT event_id, value / 100.0 * 2.0 AS on_s FROM events) SELECT event_id, 'on' AS state, round(on_s, 6) + 0.0::DOUBLE AS seconds FROM p WHERE on_s > 0.1 UNION ALL SELECT event_id, 'off', round(2.0 - on_s, 6) + 0.0::DOUBLE FROM p WHERE on_s < 2.0::DOUBLE - 0.1::DOUBLE")
+def duty_phases_legacy(spark, d):
+    e = table(spark, d, "events").select("event_id", F.inline(control.duty_phases_legacy(F.col("value"), 2.0, 0.1)))
+    return e.select("event_id", "state", r(F.col("seconds")).alias("seconds"))
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 50 + 1 AS n, event_id % 2 = 0 AS heating FROM events)
+SELECT event_id, round(CASE WHEN heating THEN 20 + n * 0.1::DOUBLE * 0.06 + 0.0005::DOUBLE * n * (n + 1) / 2
+  ELSE 20 - n * 0.1::DOUBLE * 0.03 - 0.0005::DOUBLE * (CASE WHEN n <= 6 THEN n * (n + 1) / 2 ELSE 21 + 6 * (n - 6) END) END, 6) + 0.0::DOUBLE AS temperature FROM e""")
+def kettle_run(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 50 + 1).cast("int").alias("n"), (F.col("event_id") % 2 == 0).alias("heating"))
+    return e.select("event_id", r(control.kettle(F.col("heating"), F.col("n"), 20.0)).alias("temperature"))
+
+
+# --- streams, drained; the SQL is that of their batch twins
+
+
+def _streamed(spark, source, twin, name):
+    """``source`` as files of a stream, through ``twin``, into files."""
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    source.write.parquet(f"{base}/in")
+    with streams.state_store(spark):
+        streams.drain_to(twin(spark.readStream.schema(source.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query(ORACLE["keyed_sequence"])
+def stream_sequence(spark, d):
+    items = _items(spark, d).select("part", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return _streamed(spark, items, streams.sequence_stream, "sequence")
+
+
+@query(ORACLE["pid_clamped"])
+def stream_pid(spark, d):
+    s = inputs.series(spark, d).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("user_id", "event_id", "us", "value")
+    out = _streamed(spark, s, lambda x: streams.pid_stream(x, 65.0, GAINS), "pid")
+    return out.select("user_id", "event_id", r(F.col("output")).alias("output"))
+
+
+@query(ORACLE["route_last_client"])
+def stream_route(spark, d):
+    p = inputs.packets(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _streamed(spark, p, streams.route_stream, "route").select("event_id", "target", "client")

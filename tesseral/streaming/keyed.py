@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -107,3 +108,22 @@ def drain(result: DataFrame, name: str, checkpoint: str, mode: str = "append") -
     """Run to the end of what is there into the memory table ``name``, then stop."""
     q = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def drain_to(result: DataFrame, path: str, checkpoint: str) -> None:
+    """Run to the end of what is there into Parquet files under ``path``, then stop; exactly once by the checkpoint."""
+    result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+
+
+@contextmanager
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """The state store that keyed state needs and, meanwhile, how many partitions the state has."""
+    keys = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

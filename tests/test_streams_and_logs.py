@@ -61,8 +61,24 @@ def test_sensor_words(spark):
 
 
 def test_kettle_warms_and_cools(spark):
-    t = spark.createDataFrame([(1.0, 60), (0.0, 60)], "p double, n int").select(control.kettle(F.col("p"), F.col("n")).alias("t")).collect()
-    assert t[0]["t"] > 20 > t[1]["t"]
+    def slow(heating, ticks, t):
+        n = 0
+        for _ in range(ticks):
+            n = min(n + 1, 60) if heating else max(n - 1, -6)
+            if t < 100 if heating else t > 0:
+                t += 0.1 * (0.06 if heating else -0.03) + 0.0005 * n
+        return t
+
+    cases = [(True, 60), (False, 60), (True, 5000), (False, 5000), (True, 1)]
+    rows = spark.createDataFrame(cases, "p boolean, n int").select("p", "n", control.kettle(F.col("p"), F.col("n"), 20.0).alias("t")).collect()
+    assert all(abs(r["t"] - slow(r["p"], r["n"], 20.0)) < 1e-9 for r in rows)
+
+
+def test_pid_update_keeps_state():
+    p = control.PID()
+    p.step(10, 1)
+    p.update(kp=1.0, ki=None)
+    assert (p.gains.kp, p.gains.ki, p.integral) == (1.0, 0.007, 10)
 
 
 def test_log_rules(spark):
