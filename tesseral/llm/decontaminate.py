@@ -212,3 +212,26 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     back = {c: f"c{i}" for i, c in enumerate(others)} | {"doc_id": "doc_id", "text": "text"}
     clean = find_leaks(docs, benchmark).where(F.col("n_hit") == 0)
     return clean.select(*[F.col(back[c]).alias(c) for c in docs.columns])
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), starts AS (
+  SELECT item, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0
+), wins AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i : i + n - 1], ' ') AS g FROM starts
+), places AS (
+  SELECT rid, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM wins) WHERE len(ws) >= n
+), found AS (
+  SELECT rid, i, p.n AS n, item FROM (SELECT rid, n, i, array_to_string(ws[i : i + n - 1], ' ') AS g FROM places) p JOIN wins USING (n, g)
+), words AS (
+  SELECT rid, count(DISTINCT w) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS w FROM (SELECT DISTINCT rid, i, n FROM found)) GROUP BY rid
+), names AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN names USING (rid)
+"""
