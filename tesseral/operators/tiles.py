@@ -238,6 +238,68 @@ def decode_tile(data: bytes) -> list[dict]:
     return out
 
 
+def _geometry_faults(kind: int, commands: list[int]) -> list[str]:
+    """What is wrong with a command sequence, by the format's rules for its geometry type."""
+    runs, at = [], 0
+    while at < len(commands):
+        run = commands[at] & 7, commands[at] >> 3
+        runs.append(run)
+        at += 1 + (0 if run[0] == 7 else 2 * run[1])
+    if at != len(commands):
+        return ["parameters are missing"]
+    if kind == 1:
+        return [] if len(runs) == 1 and runs[0][0] == 1 and runs[0][1] > 0 else ["a point is one MoveTo"]
+    if kind == 2:
+        ok = runs and len(runs) % 2 == 0 and all(a == (1, 1) and b[0] == 2 and b[1] > 0 for a, b in zip(runs[::2], runs[1::2]))
+        return [] if ok else ["a line is MoveTo 1, then LineTo"]
+    if kind == 3:
+        ok = runs and len(runs) % 3 == 0 and all(a == (1, 1) and b[0] == 2 and b[1] > 1 and c == (7, 1) for a, b, c in zip(runs[::3], runs[1::3], runs[2::3]))
+        return [] if ok else ["a ring is MoveTo 1, LineTo 2 or more, ClosePath 1"]
+    return ["unknown geometry type"]
+
+
+def violations(data: bytes) -> list[str]:
+    """Rules of the tile format, version 2, that the bytes break; none for a conforming tile."""
+    out, names = [], []
+    for number, _, body in read_fields(data):
+        if number != 3:
+            out.append("field outside a layer")
+            continue
+        fields: dict[int, list] = {}
+        for n, _, v in read_fields(body):
+            fields.setdefault(n, []).append(v)
+        names += fields.get(1, [])
+        if len(fields.get(1, [])) != 1 or not fields[1][0]:
+            out.append("a layer needs one name")
+        if fields.get(15) != [2]:
+            out.append("a layer needs version 2")
+        keys, values = fields.get(3, []), fields.get(4, [])
+        out += [f"repeated {what}" for what, x in (("key", keys), ("value", values)) if len(set(x)) != len(x)]
+        ids = []
+        for f in fields.get(2, []):
+            parts = {n: v for n, _, v in read_fields(f)}
+            tags = _packed(parts.get(2, b""))
+            ids.append(parts.get(1))
+            if len(tags) % 2 or any(k >= len(keys) for k in tags[::2]) or any(v >= len(values) for v in tags[1::2]):
+                out.append("tags do not point to keys and values")
+            if len(set(tags[::2])) != len(tags[::2]):
+                out.append("a feature has a key twice")
+            out += _geometry_faults(parts.get(3, 0), _packed(parts.get(4, b"")))
+        if len({i for i in ids if i is not None}) != len([i for i in ids if i is not None]):
+            out.append("repeated feature id")
+    return out + ["repeated layer name"] * (len(set(names)) != len(names))
+
+
+def conformance(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, violations) of tile bytes."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"z": pdf.z, "x": pdf.x, "y": pdf.y, "violations": [len(violations(bytes(b))) for b in pdf.data]})
+
+    return tiles.select("z", "x", "y", "data").mapInPandas(run, "z int, x long, y long, violations long")
+
+
 def decoded_points(tiles: DataFrame) -> DataFrame:
     """(z, x, y, layer, feature_id, px, py) of the point features in tile bytes."""
 

@@ -380,6 +380,12 @@ def _tile_table(spark, d):
     return tiles.encode_tiles(f)
 
 
+@query(f"WITH {s_tile_points(SQL_CITIES)} SELECT DISTINCT x, y, 0::BIGINT AS violations FROM drawn")
+def tile_conformance(spark, d):
+    """Every encoded tile against the rules of the format."""
+    return tiles.conformance(_tile_table(spark, d)).select("x", "y", "violations")
+
+
 @query()
 def tile_bytes(spark, d):
     """Encoded tiles; the bytes are decoded and checked in the tests."""

@@ -87,6 +87,31 @@ def test_tiles_round_trip(spark, sf):
     assert a == queries.tile_points(spark, sf).count() > 0
 
 
+def test_violations():
+    a = tiles.Layer("a")
+    a.add(1, [9, 50, 34], [("x", "i", 7)])
+    a.add(2, encode_parts(2, [[(2, 2), (2, 10)]]), [])
+    a.add(3, encode_parts(3, [[(0, 0), (9, 0), (9, 9)]]), [])
+    assert tiles.violations(a.build()) == [] == tiles.violations(b"")
+    assert tiles.violations(a.build() + a.build()) == ["repeated layer name"]
+    b = tiles.Layer("b")
+    b.add(1, [9, 50], [])
+    b.add(2, [9, 0, 0], [], explicit_id=1)
+    b.add(3, [9, 0, 0, 10, 1, 1, 15], [])
+    b.add(9, [9, 0, 0], [])
+    found = tiles.violations(b.build())
+    assert len(found) == 5 and "repeated feature id" in found and "parameters are missing" in found
+
+
+def test_tile_store(spark, sf, tmp_path):
+    from tesseral.plans import queries
+
+    t = queries._tile_table(spark, sf)
+    tiles.save_tiles(t, str(tmp_path / "t"))
+    back = tiles.load_tiles(spark, str(tmp_path / "t"))
+    assert {(r["z"], r["x"], r["y"], bytes(r["data"])) for r in back.collect()} == {(r["z"], r["x"], r["y"], bytes(r["data"])) for r in t.collect()}
+
+
 def test_geojson():
     doc = '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"MultiPoint","coordinates":[[1,2],[3,4,5]]},"properties":{"a":9007199254740993,"b":1.5,"c":null,"d":{"x":1},"e":"t","f":false}},{"type":"Feature","geometry":null},{"type":"Feature"},{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]],[[0,0],[1,1]]]}},{"type":"Feature","geometry":{"type":"GeometryCollection","geometries":[{"type":"LineString","coordinates":[[0,0],[1,1]]},{"type":"Point","coordinates":["x",1]}]}}]}'
     rows = geojson.read_document(doc)
