@@ -100,10 +100,11 @@ def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components(spark, few):
     r = random.Random(3)
     pairs = [(i, i + 1) for i in range(100, 140)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(7, 7), (None, 3)]
-    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(pairs, "u long, v long"), few_edges=few).collect()}
     want = roots(150, [p for p in pairs if None not in p])
     assert got == {i: w for i, w in enumerate(want) if w != i}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
