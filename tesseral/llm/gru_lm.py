@@ -31,7 +31,7 @@ HIDDEN, EMBED = 24, 16
 FRACTION, LEAST_TOKENS = 32, 8_000
 ROUNDS = 3
 TRAIN_LANES, TRAIN_WINDOW = 24, 16
-SCORE_LANES, SCORE_WINDOW = 512, 16
+SCORE_LANES = 512
 #: States whose softmax is computed together.
 SOFTMAX_ROWS = 16_384
 RATE = 0.006
@@ -235,35 +235,71 @@ def train(net: Network, ids: np.ndarray, off: np.ndarray) -> Network:
     return net
 
 
+def time_major(off: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token numbers step by step, first place of each step): lanes are sorted by length, so the
+    lanes that still run are the first ones of every step and nothing is padded."""
+    dealt = lanes(np.diff(off), count)
+    size = np.array([sum(int(off[d + 1] - off[d]) for d in lane) for lane in dealt])
+    dealt, size = [dealt[i] for i in np.argsort(-size, kind="stable")], -np.sort(-size)
+    texts = np.array([d for lane in dealt for d in lane])
+    n = off[texts + 1] - off[texts]
+    token = np.repeat(off[texts] - (np.cumsum(n) - n), n) + np.arange(n.sum())  # lane after lane
+    lane = np.repeat(np.arange(len(size)), size)
+    step = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+    running = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), "right")
+    base = np.concatenate(([0], np.cumsum(running)))
+    at = np.empty(len(token), np.int64)
+    at[base[step] + lane] = token
+    return at, base
+
+
 def score_tokens(net: Network, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token, state carried through each whole document."""
-    x, y, fresh, at = pack(ids, off, SCORE_LANES)
-    h = np.zeros((x.shape[1], HIDDEN), np.float32)
+    """Natural log probability of each token, state carried through each whole document.
+
+    The softmax waits until SOFTMAX_ROWS states are there.
+    """
     out = np.zeros(len(ids))
-    waiting, size = [], 0
-
-    def settle() -> None:
-        """Softmax of many windows at once: late windows have few lanes left."""
-        if waiting:
-            place, state, word = (np.concatenate(c) for c in zip(*waiting))
-            out[place] = net.log_probabilities(state, word)
-            waiting.clear()
-
-    for t in range(0, len(x), SCORE_WINDOW):
-        w = slice(t, t + SCORE_WINDOW)
-        n = int((at[t] >= 0).sum())
-        if n < x.shape[1] // 2:  # only few long lanes are left: drop the others
-            use = np.flatnonzero(at[t] >= 0)
-            x, y, fresh, at, h = x[:, use], y[:, use], fresh[:, use], at[:, use], h[use]
-        states, h = net.steps(x[w], fresh[w], h)
-        here = at[w].ravel()
-        on = np.flatnonzero(here >= 0)
-        waiting.append((here[on], states.reshape(-1, HIDDEN)[on], y[w].ravel()[on]))
-        size += len(on)
-        if size >= SOFTMAX_ROWS:
-            settle()
-            size = 0
-    settle()
+    if not len(ids):
+        return out
+    at, base = time_major(off, SCORE_LANES)
+    first = np.zeros(len(ids), bool)
+    first[off[:-1]] = True
+    fresh = first[at]
+    x = ids[at - 1]
+    x[fresh] = VOCABULARY
+    begins = np.logical_or.reduceat(fresh, base[:-1])
+    stays = np.where(fresh, np.float32(0), np.float32(1))[:, None]
+    # a gate is (tanh(a / 2) + 1) / 2: the halves are taken into the weights
+    two, half = 2 * HIDDEN, np.float32(0.5)
+    table = net.emb @ net.wx + net.b
+    in_gates, in_new = np.ascontiguousarray(table[:, :two] * half), np.ascontiguousarray(table[:, two:])
+    gates, new = np.ascontiguousarray(net.wh[:, :two] * half), np.ascontiguousarray(net.wh[:, two:] * half)
+    edges = base.tolist()
+    h = np.zeros((edges[1], HIDDEN), np.float32)
+    states, begin = np.empty((SOFTMAX_ROWS + len(h), HIDDEN), np.float32), 0
+    for t in range(len(edges) - 1):
+        a, b = edges[t], edges[t + 1]
+        h = h[: b - a]
+        if begins[t]:
+            h = h * stays[a:b]
+        i = x[a:b]
+        g = in_gates[i]
+        g += h @ gates
+        np.tanh(g, out=g)
+        g += 1
+        n = h @ new
+        n *= g[:, :HIDDEN]
+        n += in_new[i]
+        np.tanh(n, out=n)
+        h = h - n
+        h *= g[:, HIDDEN:]
+        h *= half
+        h += n
+        states[a - begin : b - begin] = h
+        if b - begin >= SOFTMAX_ROWS or b == len(at):
+            place = at[begin:b]
+            out[place] = net.log_probabilities(states[: b - begin], ids[place])
+            begin = b
     return out
 
 
@@ -288,17 +324,13 @@ def _asked(table: pa.Table, buckets: int) -> pa.Table:
     shard = table.column("shard")[0].as_py()
     table = _ranked(table)
     held = table.column("held_out").to_pylist()
-    known: Counter = Counter()
-    seen: dict[bytes, None] = {}  # in the order of first use
-    total, texts = 0, common.blobs(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
-    sizes = []
-    for t, out in zip(texts, held):
-        w = tokens_of(t)
-        seen.update(dict.fromkeys(w))
-        if not out:
-            known.update(w)
-            total += len(w)
-            sizes.append((t, len(w)))
+    texts = common.blobs(table.column("text").combine_chunks())
+    docs = [tokens_of(t) for t in texts]
+    seen = dict.fromkeys(chain.from_iterable(docs))  # in the order of first use
+    known = Counter(chain.from_iterable(w for w, out in zip(docs, held) if not out))
+    sizes = [(t, len(w)) for t, w, out in zip(texts, docs, held) if not out]
+    total = sum(n for _, n in sizes)
+    del docs
     rows = [(0, shard, b, b"\n".join(ts), np.array([known[t] for t in ts], np.int64).tobytes()) for b, ts in _owned(seen, buckets).items()]
     wanted, taken, have = max(total // FRACTION, LEAST_TOKENS), [], 0
     step = max(1, total // wanted)
