@@ -502,9 +502,22 @@ def hash_fnv1a(spark, d):
     return keyed.assign(k, "key", 16).select("key", hashing.fnv1a(F.col("key")).alias("hash"), "part")
 
 
-@query()
+def s_murmur2(source: str) -> str:
+    """CTEs ending in ``hashed`` (k, h) over ``source`` (k VARCHAR of ASCII characters), in 128-bit products."""
+    mul = lambda v: f"(({v})::HUGEINT * 1540483477 % 4294967296)::BIGINT"
+    byte = lambda i: f"ascii(substr(k, i + {i}, 1))::BIGINT"
+    word = mul(f"({byte(0)} | {byte(1)} << 8 | {byte(2)} << 16 | {byte(3)} << 24)")
+    tail = f"xor(xor(CASE WHEN n >= 3 THEN {byte(2)} << 16 ELSE 0 END, CASE WHEN n >= 2 THEN {byte(1)} << 8 ELSE 0 END), {byte(0)})"
+    return f"""keys AS ({source}), steps AS (SELECT k, xor({0xC58F1A7A}::BIGINT, length(k)) AS h, 1 AS i FROM keys WHERE length(k) > 0 UNION ALL
+  SELECT k, xor({mul("h")}, {mul("xor(w, w >> 24)")}), i + 4 FROM (SELECT *, {word} AS w FROM steps WHERE i + 3 <= length(k))),
+rest AS (SELECT k, i, h, length(k) - i + 1 AS n FROM steps WHERE i + 3 > length(k)),
+mixed AS (SELECT k, CASE WHEN n > 0 THEN {mul(f"xor(h, {tail})")} ELSE h END AS h FROM rest),
+twice AS (SELECT k, {mul("xor(h, h >> 13)")} AS h FROM mixed),
+hashed AS (SELECT k, xor(h, h >> 15) AS h FROM twice UNION ALL SELECT k, 0 FROM keys WHERE length(k) = 0)"""
+
+
+@query(f"WITH RECURSIVE {s_murmur2(_EVENT_KEYS)} SELECT k AS key, h AS hash FROM hashed")
 def hash_murmur2(spark, d):
-    """No SQL for the 32-bit products; checked against a plain implementation in the tests."""
     k = inputs.work(spark, d).select("key").distinct()
     return k.withColumn("hash", hashing.murmur2(F.col("key")))
 
