@@ -506,7 +506,7 @@ def s_murmur2(source: str) -> str:
     """CTEs ending in ``hashed`` (k, h) over ``source`` (k VARCHAR of ASCII characters), in 128-bit products."""
     mul = lambda v: f"(({v})::HUGEINT * 1540483477 % 4294967296)::BIGINT"
     byte = lambda i: f"ascii(substr(k, i + {i}, 1))::BIGINT"
-    word = mul(f"({byte(0)} | {byte(1)} << 8 | {byte(2)} << 16 | {byte(3)} << 24)")
+    word = mul(f"({byte(0)} + ({byte(1)} << 8) + ({byte(2)} << 16) + ({byte(3)} << 24))")
     tail = f"xor(xor(CASE WHEN n >= 3 THEN {byte(2)} << 16 ELSE 0 END, CASE WHEN n >= 2 THEN {byte(1)} << 8 ELSE 0 END), {byte(0)})"
     return f"""keys AS ({source}), steps AS (SELECT k, xor({0xC58F1A7A}::BIGINT, length(k)) AS h, 1 AS i FROM keys WHERE length(k) > 0 UNION ALL
   SELECT k, xor({mul("h")}, {mul("xor(w, w >> 24)")}), i + 4 FROM (SELECT *, {word} AS w FROM steps WHERE i + 3 <= length(k))),
