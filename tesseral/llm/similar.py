@@ -186,10 +186,13 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     of each other.  All columns stay; an empty table gives no rows.
     """
     best = groups(docs, words, similarity, radius).groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("b"))
-    stay = best.select(F.col("b.least").alias("kept_id"), F.col("b.node").alias("kept_node"))
+    # no id counts as the least long: a row with that id and the same text is a copy of one without id
+    none = F.lit(-(1 << 63))
+    stay = best.select(F.coalesce("b.least", none).alias("kept_id"), F.col("b.node").alias("kept_node"))
     names = docs.columns
     inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
     key, text = inner[f"c{names.index('doc_id')}"].cast("long"), inner[f"c{names.index('text')}"].cast("string")
-    inner = inner.withColumn("id_", key).withColumn("node_", node_of(text))
-    left = inner.join(stay, inner["id_"].eqNullSafe(stay["kept_id"]) & (inner["node_"] == stay["kept_node"]), "left_semi").dropDuplicates(["id_", "node_"])
+    inner = inner.withColumn("id_", F.coalesce(key, none)).withColumn("node_", node_of(text))
+    # the join's own partitioning serves the removal of repeated rows too
+    left = inner.join(stay, (inner["id_"] == stay["kept_id"]) & (inner["node_"] == stay["kept_node"]), "left_semi").dropDuplicates(["id_", "node_"])
     return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
