@@ -24,7 +24,7 @@ from . import common
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 #: Pieces whose encodings one Python worker remembers at most.
-CACHE_PIECES = 240_000
+CACHE_PIECES = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
