@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,16 +138,35 @@ def encode_tiles(features: DataFrame, extent: int = EXTENT) -> DataFrame:
     """
     to = {"s": str, "f": float, "d": float, "i": int, "u": int, "b": lambda v: v == "true"}
 
-    def frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        layers: dict[str, Layer] = {}
-        for r in pdf.itertuples(index=False):
-            layer = layers.setdefault(r.layer, Layer(r.layer, extent))
-            tags = [(t["key"], t["kind"], None if t["value"] is None else to[t["kind"]](t["value"])) for t in (() if r.tags is None else r.tags)]
-            layer.add(int(r.type), [int(c) for c in r.commands], tags, None if pd.isna(r.explicit_id) else int(r.explicit_id))
-        return pd.DataFrame({"z": [pdf.z.iloc[0]], "x": [pdf.x.iloc[0]], "y": [pdf.y.iloc[0]], "data": [build_tile(list(layers.values()))], "n_features": [len(pdf)]})
+    names = ["z", "x", "y", "layer", "type", "commands", "tags", "explicit_id"]
 
-    return features.groupBy("z", "x", "y").applyInPandas(frame, TILE_BYTES)
+    def run(batches):
+        key, layers, n = None, {}, 0
+        done: list[tuple] = []
+
+        def flush():
+            out = pa.table([pa.array([r[i] for r in done], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["z", "x", "y", "data", "n_features"])
+            done.clear()
+            return out.to_batches()
+
+        for b in batches:
+            for z, x, y, name, kind, commands, tags, explicit in zip(*(b.column(c).to_pylist() for c in names)):
+                if (z, x, y) != key:
+                    if key is not None:
+                        done.append((*key, build_tile(list(layers.values())), n))
+                    key, layers, n = (z, x, y), {}, 0
+                layer = layers.get(name) or layers.setdefault(name, Layer(name, extent))
+                layer.add(kind, commands, [(t["key"], t["kind"], None if t["value"] is None else to[t["kind"]](t["value"])) for t in tags or ()], explicit)
+                n += 1
+            if len(done) >= 256:
+                yield from flush()
+        if key is not None:
+            done.append((*key, build_tile(list(layers.values())), n))
+            yield from flush()
+
+    # rows arrive tile by tile, so a task holds the layers of one tile and not a frame of its features
+    rows = features.select(F.col("z").cast("int"), F.col("x").cast("long"), F.col("y").cast("long"), "layer", F.col("type").cast("int"), "commands", "tags", "explicit_id", "pos")
+    return rows.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "pos").drop("pos").mapInArrow(run, TILE_BYTES)
 
 
 def save_tiles(tiles: DataFrame, path: str) -> None:

@@ -111,7 +111,7 @@ def s_cells(lon: str, lat: str, precision: int) -> tuple[str, str]:
 @query(f"SELECT id, {sr(s_hav(f'{LON}', f'{LAT}', 'lon', 'lat'), 3)} AS dist_m FROM ({SQL_POIS}) WHERE {s_hav(f'{LON}', f'{LAT}', 'lon', 'lat')} <= {METRES} ORDER BY dist_m, id")
 def geo_within(spark, d):
     """Points of interest within 500 km, by key ranges and exact distance."""
-    found = spatial.within(spatial.with_key(inputs.pois(spark, d)), LON, LAT, METRES)
+    found = spatial.within(spatial.with_key(inputs.pois(spark, d)), LON, LAT, METRES, stored=False)
     return found.select("id", r(F.col("dist_m"), 3).alias("dist_m")).orderBy("dist_m", "id")
 
 
@@ -129,7 +129,7 @@ def geo_nearest_k(spark, d):
 @query()
 def geo_nearest_box(spark, d):
     """The box method, which may miss the nearest point; checked against brute force in the tests."""
-    found = spatial.nearest_box(spatial.with_key(inputs.pois(spark, d), 10), LON, LAT, 10)
+    found = spatial.nearest_box(spatial.with_key(inputs.pois(spark, d), 10), LON, LAT, 10, stored=False)
     return found.select("id", r(F.col("dist_m"), 3).alias("dist_m")).orderBy("dist_m", "id")
 
 
@@ -202,7 +202,7 @@ def hilbert_ranges_cover(spark, d):
     found = ranges.box_ranges(ranges.Box(x0, y0, x1, y1), 19)
     p = spatial.with_key(inputs.pois(spark, d))
     x, y = projection.LINEAR.to_grid(F.col("lon"), F.col("lat"), 19)
-    return p.select("id", (spatial.in_ranges(F.col("hid"), found) & x.between(x0, x1) & y.between(y0, y1)).alias("inside"))
+    return p.select("id", (spatial.in_ranges(F.col("hid"), found, stored=False) & x.between(x0, x1) & y.between(y0, y1)).alias("inside"))
 
 
 _SCAN = [(a, b) for a, b in ranges.radius_ranges(LON, LAT, METRES, 10, most=16)]
@@ -210,7 +210,7 @@ _SCAN = [(a, b) for a, b in ranges.radius_ranges(LON, LAT, METRES, 10, most=16)]
 
 @query(f"WITH RECURSIVE {s_encode('SELECT id, {} AS x, {} AS y FROM ({})'.format(*s_linear(10), SQL_POIS), 10)} SELECT id, hid FROM keyed WHERE {' OR '.join(f'hid BETWEEN {a} AND {b}' for a, b in _SCAN)}")
 def hilbert_range_scan(spark, d):
-    return spatial.with_key(inputs.pois(spark, d), 10).where(spatial.in_ranges(F.col("hid"), _SCAN)).select("id", "hid")
+    return spatial.with_key(inputs.pois(spark, d), 10).where(spatial.in_ranges(F.col("hid"), _SCAN, stored=False)).select("id", "hid")
 
 
 @query(f"SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM (VALUES {', '.join(f'({x}, {y})' for p in _SCAN for x, y in (curve.decode_value(p[0], 10), curve.decode_value(p[1], 10)))}) t(x, y)")
