@@ -278,8 +278,22 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([x[0] for x in out], pa.int32()), **{n: pa.array([x[i] for x in out], pa.binary()) for i, n in ((1, "row"), (2, "first"), (3, "size"))}})
 
 
-def _cut(table: pa.Table, found: pa.Table) -> pa.Table:
-    """The shard's rows with their spans, and what is left of each text."""
+def _valid(raw: bytes, to: np.ndarray) -> bool:
+    """Whether every text of ``raw`` is UTF-8: the whole is, and no text begins inside a character."""
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    begin = to[:-1][to[:-1] < len(raw)]
+    return not ((np.frombuffer(raw, np.uint8)[begin] & 0xC0) == 0x80).any()
+
+
+def _cut(table: pa.Table, found: pa.Table, characters: bool = False) -> pa.Table:
+    """The shard's rows with their spans, and what is left of each text.
+
+    ``characters``: a character that lost a byte is left out whole, so that its rest does not meet
+    the rest of another one, and bytes that never were UTF-8 go too.
+    """
     if not table.num_rows:
         return None
     table = _ranked(table)
@@ -289,7 +303,7 @@ def _cut(table: pa.Table, found: pa.Table) -> pa.Table:
     order = np.argsort(row, kind="stable")
     row, first, size = row[order], first[order], size[order]
     n_bytes = np.diff(off)
-    n_gone, n_spans, kept = np.zeros(len(n_bytes), np.int64), np.zeros(len(n_bytes), np.int64), []
+    n_gone, n_spans, n_kept, kept = np.zeros(len(n_bytes), np.int64), np.zeros(len(n_bytes), np.int64), np.zeros(len(n_bytes), np.int64), []
     for i, j in _blocks(off):
         p, o = slice(*np.searchsorted(row, (i, j))), off[i : j + 1] - off[i]
         part = data[off[i] : off[j]]
@@ -304,23 +318,33 @@ def _cut(table: pa.Table, found: pa.Table) -> pa.Table:
         edge[heads] = gone[heads]  # a span ends with its text
         for out, x in ((n_gone, gone), (n_spans, edge)):
             out[i:j] = np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int32)))[o])
+        if characters and len(part):
+            first_byte = (part & 0xC0) != 0x80
+            first_byte[heads] = True
+            at = np.flatnonzero(first_byte)
+            gone = np.repeat(np.logical_or.reduceat(gone, at), np.diff(np.append(at, len(part))))
+        n_kept[i:j] = np.diff(np.concatenate(([0], np.cumsum(~gone, dtype=np.int32)))[o])
         kept.append(part[~gone].tobytes())
-    to = np.concatenate(([0], np.cumsum(n_bytes - n_gone)))
-    left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n_bytes), [None, pa.py_buffer(to.astype(np.int64).tobytes()), pa.py_buffer(b"".join(kept))]).cast(pa.binary())
+    raw, to = b"".join(kept), np.concatenate(([0], np.cumsum(n_kept)))
+    if characters and not _valid(raw, to):
+        texts = [raw[a:b].decode("utf-8", "ignore").encode() for a, b in zip(to[:-1].tolist(), to[1:].tolist())]
+        raw, to = b"".join(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n_bytes), [None, pa.py_buffer(to.astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
     extra = {"n_bytes": pa.array(n_bytes), "n_removed": pa.array(n_gone), "n_spans": pa.array(n_spans), "kept": left}
     for n, c in extra.items():
         table = table.append_column(n, c)
     return table
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, text, its other columns as c0, c1, ..., n_bytes, n_removed, n_spans, kept.
 
     ``kept`` (binary) is the UTF-8 text without every byte that some WINDOW-byte string covers which
     also starts in a document with a smaller doc_id; all strings are judged on the input.  Null
     texts are empty.  Rows with the same id are never smaller than each other; rows without an id
     count as larger than all others and equal to one another.  Texts under WINDOW bytes are kept
-    whole.  Empty tables give no rows.
+    whole.  Empty tables give no rows.  With ``characters`` what is left of a character that lost a
+    byte is not in ``kept`` either, nor what was no UTF-8 before; the counts stay those of the windows.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
@@ -332,7 +356,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(common.tidy_pair(lambda a, b: _runs_of_shard(a, b, n)), _RUNS)
     covered = found.groupBy("bucket").applyInArrow(common.tidy_group(_sort_bucket), "shard int, row binary, first binary, size binary")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shards.schema.fields) + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    out = shards.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(common.tidy_pair(_cut), fields)
+    out = shards.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(common.tidy_pair(lambda a, b: _cut(a, b, characters)), fields)
     return out.drop("shard")
 
 
@@ -343,6 +367,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     empty, a null text too.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = remove_repeats(docs)
-    back = {"doc_id": F.col("doc_id"), "text": F.try_validate_utf8(F.col("kept").cast("string"))} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
+    out = remove_repeats(docs, characters=True)
+    back = {"doc_id": F.col("doc_id"), "text": F.col("kept").cast("string")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
     return out.select(*[back[c].alias(c) for c in docs.columns])

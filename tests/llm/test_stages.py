@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline as pipeline
-from tesseral.llm import bpe
+from tesseral.llm import bpe, repeats
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdefghij") for _ in range(R.randrange(2, 9))) for _ in range(900)]
@@ -71,6 +71,37 @@ def test_repeats(spark, odd, tables):
     assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
 
 
+def slow_keep_first(docs, window=50):
+    """{doc_id: text without characters that lost a byte to a window of an earlier document}."""
+    out, seen = {}, set()
+    for i, t in sorted(docs):
+        b = t.encode()
+        mine = [b[k : k + window] for k in range(len(b) - window + 1)]
+        gone = {k + j for k, w in enumerate(mine) if w in seen for j in range(window)}
+        at, left = 0, []
+        for c in t:
+            n = len(c.encode())
+            if not gone.intersection(range(at, at + n)):
+                left.append(c)
+            at += n
+        out[i] = "".join(left)
+        seen.update(mine)
+    return out
+
+
+def test_repeats_inside_characters(spark):
+    passage = {"р": "общий отрывок, который есть в обоих текстах без изменений", "é": "où l'été à côté près du café, déjà évoqué là-bas, très tôt", "漢": "共有される文章はここにあり同じ文字の並びが続く箇所である"}
+    # letters that share their lead byte (D0, C3, E6) or their last byte (D0 BF / CE BF) around the passage
+    ends = {"р": ["абвгд", "жзийк", "лмноп", "οοοοο"], "é": ["àáâãä", "çèêëì", "òóôõö", "ùúûüý"], "漢": ["漢字", "湘潮", "澄激", "濃瀬"]}
+    docs = [(10 * n + k, f"{k} own words {e[::-1]} {e}{p}{e} and a clean end {k}{e[0]}{p[:9]}") for n, (s, p) in enumerate(passage.items()) for k, e in enumerate(ends[s])]
+    docs += [(50, "ж" + "ab" * 40 + "ш" + "z" * 10), (51, "з" + "ab" * 40 + "щ" + "y" * 10)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in repeats.keep_first(rows).collect()}
+    assert got == slow_keep_first(docs)
+    raw = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(rows).collect()}
+    assert any(raw[i].decode("utf-8", "ignore").encode() != raw[i] for i in raw)  # spans do end inside characters
+
+
 def test_leaks(spark, odd, tables):
     out = pipeline.drop_benchmark(spark, odd, tables)
     assert out.columns == odd.columns
