@@ -42,9 +42,8 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
 
 def sketch(text: bytes, words: int) -> tuple[int, int, bytes, np.ndarray]:
     """(fingerprint, distinct shingles, sketch, shard keys)."""
-    h = shingle_hashes(text, words)
+    h = shingle_set(text, words)  # what confirm() compares: repeats move no bit
     print_ = fold(h)
-    h = np.unique(h) if len(h) else np.zeros(1, np.uint64)
     least = np.full(SKETCH, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(h), 4096):
         least = np.minimum(least, ((h[None, i : i + 4096] ^ _FLIP[:, None]) * _ODD[:, None]).min(1))

@@ -81,3 +81,13 @@ def test_sketches_agree_as_sets_do():
     a, b = similar.sketch(" ".join(w).encode(), 5), similar.sketch(" ".join(w[:880]).encode(), 5)
     assert a[1] == 896 and b[1] == 876
     assert (np.frombuffer(a[2], np.uint8) == np.frombuffer(b[2], np.uint8)).mean() > 0.85 and (a[3] == b[3]).sum() >= 8
+
+
+def test_blocks_repeated_a_different_number_of_times(spark):
+    r, docs = random.Random(4), []
+    for k in range(8):
+        w = [f"d{k}w{r.randrange(9000)}" for _ in range(600)]
+        block = [f"d{k}b{i}" for i in range(20)]
+        docs += [(2 * k, " ".join(w + block)), (2 * k + 1, " ".join(w + block * 20))]
+    assert max(slow_groups(docs)) == 14 and len(set(slow_groups(docs))) == 8
+    assert sorted(x["doc_id"] for x in similar.keep_one(frame(spark, docs)).collect()) == list(range(0, 16, 2))
