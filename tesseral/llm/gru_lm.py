@@ -4,8 +4,8 @@ One pass over the sharded corpus counts every token; each shard asks for the cou
 tokens only and gets them back from the buckets that own them, so no vocabulary is broadcast.  The
 ``VOCABULARY`` most frequent tokens are the network's words, in classes of equal size by rank; all
 others are one word whose probability is shared out by their counts.  The network is trained by
-rounds of truncated backpropagation on a fixed fraction of each shard's training tokens, followed by
-an average over the shards, so what is learned from grows with the corpus.  Scoring packs whole
+one pass of truncated backpropagation over all training tokens: each shard's training documents are
+dealt to rounds, and an average over the shards follows each round.  Scoring packs whole
 documents into lanes and carries the state from window to window through each document.
 """
 from __future__ import annotations
@@ -27,8 +27,7 @@ from . import common
 CLASSES, CLASS_SIZE = 32, 32
 VOCABULARY = CLASSES * CLASS_SIZE
 HIDDEN, EMBED = 24, 16
-#: A shard trains on one in FRACTION of its training tokens, or on LEAST_TOKENS if that is more.
-FRACTION, LEAST_TOKENS = 32, 8_000
+#: Parts of each shard's training documents, with an average over the shards after each.
 ROUNDS = 3
 TRAIN_LANES, TRAIN_WINDOW = 24, 16
 SCORE_LANES = 512
@@ -139,34 +138,40 @@ class Network:
         grad.bc[:] = a.sum(0)
         ds = a @ self.wc.T
         order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            i = order[edges[k] : edges[k + 1]]
-            if len(i):
-                b = s[i] @ self.ww[k] + self.bw[k]
-                b = np.exp(b - b.max(1, keepdims=True))
-                b /= b.sum(1, keepdims=True)
-                b[np.arange(len(i)), w[i]] -= 1
-                b *= scale
-                grad.ww[k] = s[i].T @ b
-                grad.bw[k] = b.sum(0)
-                ds[i] += b @ self.ww[k].T
+        edges = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+        used = [(k, slice(edges[k], edges[k + 1])) for k in range(CLASSES) if edges[k] < edges[k + 1]]
+        sorted_s, c, w = s[order], c[order], w[order]
+        b = self.bw[c]
+        for k, i in used:
+            b[i] += sorted_s[i] @ self.ww[k]
+        b = np.exp(b - b.max(1, keepdims=True))
+        b /= b.sum(1, keepdims=True)
+        b[np.arange(len(w)), w] -= 1
+        b *= scale
+        back = np.empty_like(sorted_s)
+        for k, i in used:
+            grad.ww[k] = sorted_s[i].T @ b[i]
+            back[i] = b[i] @ self.ww[k].T
+        grad.bw[[k for k, _ in used]] = np.add.reduceat(b, [i.start for _, i in used])
+        ds[order] += back
         dflat = np.zeros_like(flat)
         dflat[live] = ds
         dout = dflat.reshape(out.shape)
-        dx = np.zeros((*x.shape, 3 * HIDDEN), np.float32)
-        carry = np.zeros_like(h)
+        hp, r, z, n, ghn = (np.stack(v) for v in zip(*saved))
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (hp - n) * z * (1 - z), ghn * r * (1 - r)
+        dg, dn = np.empty((*x.shape, 3 * HIDDEN), np.float32), np.empty_like(out)
+        wh, stays, carry = self.wh.T, (~fresh)[:, :, None], np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
-            hp, r, z, n, ghn = saved[t]
             dh = dout[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (hp - n) * z * (1 - z)
-            dr = dn * ghn * r * (1 - r)
-            dg = np.concatenate((dr, dz, dn * r), 1)
-            grad.wh[:] += hp.T @ dg
-            carry = (dh * z + dg @ self.wh.T) * (~fresh[t])[:, None]
-            dx[t] = np.concatenate((dr, dz, dn), 1)
-        dx2 = dx.reshape(-1, 3 * HIDDEN)
+            d, g = dn[t], dg[t]
+            np.multiply(dh, to_n[t], out=d)
+            np.multiply(d, to_r[t], out=g[:, :HIDDEN])
+            np.multiply(dh, to_z[t], out=g[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(d, r[t], out=g[:, 2 * HIDDEN :])
+            carry = (dh * z[t] + g @ wh) * stays[t]
+        grad.wh[:] = hp.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+        dg[:, :, 2 * HIDDEN :] = dn
+        dx2 = dg.reshape(-1, 3 * HIDDEN)
         e = self.emb[x.ravel()]
         grad.wx[:] = e.T @ dx2
         grad.b[:] = dx2.sum(0)
@@ -319,8 +324,12 @@ def _owned(distinct, buckets: int) -> dict[int, list[bytes]]:
     return out
 
 
-def _asked(table: pa.Table, buckets: int) -> pa.Table:
-    """Distinct tokens of the shard by bucket with their training counts, and its training text."""
+def _asked(table: pa.Table, buckets: int, parts: int = ROUNDS) -> pa.Table:
+    """Distinct tokens of the shard by bucket with their training counts, and its whole training text.
+
+    Kind 0 is for the bucket; kind 1 is one of ``parts`` of the training documents, its number in
+    place of the bucket.
+    """
     shard = table.column("shard")[0].as_py()
     table = _ranked(table)
     held = table.column("held_out").to_pylist()
@@ -328,19 +337,9 @@ def _asked(table: pa.Table, buckets: int) -> pa.Table:
     docs = [tokens_of(t) for t in texts]
     seen = dict.fromkeys(chain.from_iterable(docs))  # in the order of first use
     known = Counter(chain.from_iterable(w for w, out in zip(docs, held) if not out))
-    sizes = [(t, len(w)) for t, w, out in zip(texts, docs, held) if not out]
-    total = sum(n for _, n in sizes)
-    del docs
     rows = [(0, shard, b, b"\n".join(ts), np.array([known[t] for t in ts], np.int64).tobytes()) for b, ts in _owned(seen, buckets).items()]
-    wanted, taken, have = max(total // FRACTION, LEAST_TOKENS), [], 0
-    step = max(1, total // wanted)
-    for t, n in sizes[::step] if step < len(sizes) else sizes:
-        if have >= wanted:
-            break
-        w = tokens_of(t)[: max(wanted - have, 1)]
-        taken.append(b" ".join(w[:-1] if w[-1] == END else w))
-        have += len(w)
-    rows.append((1, shard, shard % buckets, b"\n".join(taken), b""))
+    learned = [b" ".join(w[:-1]) for w, out in zip(docs, held) if not out]
+    rows += [(1, shard, k, b"\n".join(learned[k::parts]), b"") for k in range(min(parts, len(learned)))]
     cols = list(zip(*rows))
     return pa.table({"kind": pa.array(cols[0], pa.int32()), "shard": pa.array(cols[1], pa.int32()), "bucket": pa.array(cols[2], pa.int32()), "tokens": pa.array(cols[3], pa.binary()), "counts": pa.array(cols[4], pa.binary())})
 
@@ -349,10 +348,7 @@ def _answered(table: pa.Table) -> pa.Table:
     """The bucket's total counts for each shard that asked; its sums and most frequent tokens once."""
     total: Counter = Counter()
     asked, out = [], []
-    for kind, s, b, toks, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "shard", "bucket", "tokens", "counts"))):
-        if kind:
-            out.append((1, s, b, toks, 0, 0, [], []))
-            continue
+    for s, b, toks, counts in zip(*(table.column(c).to_pylist() for c in ("shard", "bucket", "tokens", "counts"))):
         ts = toks.split(b"\n")
         asked.append((s, b, ts))
         for t, c in zip(ts, np.frombuffer(counts, np.int64).tolist()):
@@ -367,17 +363,21 @@ def _answered(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("kind", "shard", "bucket", "counts", "n", "v", "words", "word_counts"), cols, kinds)})
 
 
-def _trained(table: pa.Table, flat: bytes, number: dict[bytes, int]) -> pa.Table:
+def _trained(shard: int, text: bytes, flat: bytes, number: dict[bytes, int]) -> pa.RecordBatch:
     rest = len(number)
-    docs = [[number.get(t, rest) for t in tokens_of(x)] for blob in table.column("counts").to_pylist() for x in blob.split(b"\n")]
-    ids = np.array([i for d in docs for i in d], np.int64)
-    off = np.cumsum([0] + [len(d) for d in docs])
+    docs = [np.array([number.get(t, rest) for t in tokens_of(x)], np.int64) for x in text.split(b"\n")]
+    ids, off = np.concatenate(docs), np.cumsum([0] + [len(d) for d in docs])
     net = train(Network(np.frombuffer(flat, np.float32).copy()), ids, off)
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "weight": pa.array([float(len(ids))]), "flat": pa.array([net.flat.tobytes()], pa.binary())})
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(len(ids))]), pa.array([net.flat.tobytes()], pa.binary())], names=["shard", "weight", "flat"])
 
 
 def _trainer(flat: bytes, number):
-    return lambda t: _trained(t, flat, number.value)
+    def run(batches):
+        for b in batches:
+            for shard, text in zip(b.column("shard"), b.column("tokens")):
+                yield _trained(shard.as_py(), text.as_py(), flat, number.value)
+
+    return run
 
 
 def _mean(table: pa.Table) -> pa.Table:
@@ -441,15 +441,17 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, rounds: int = R
     alone.  ``base_score`` is the add-one unigram log10 probability over all training counts, ``score``
     the network's log10 probability of the whole text.  Repeated rows count as often as they occur;
     rows without an id are training rows.  Without training rows all counts are zero and the network
-    is the untrained one.  Empty tables give no rows.  Only doc_id and text are read.
+    is the untrained one.  The network learns from every training token once, in ``rounds`` parts.  Empty tables give no rows.  Only doc_id and text are read.
     """
     spark = docs.sparkSession
     n = common.parallelism(docs)
     base = docs.select(*common.doc_columns(docs, "doc_id")).withColumn("held_out", held_out_column(F.col("doc_id"), modulus, remainder))
     mixed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     shards = base.withColumn("shard", F.pmod(mixed, F.lit(n)).cast("int")).repartition(n, "shard")
-    asked = shards.groupBy("shard").applyInArrow(common.tidy_group(lambda t: _asked(t, n)), "kind int, shard int, bucket int, tokens binary, counts binary")
-    found = common.materialise(asked.groupBy("bucket").applyInArrow(common.tidy_group(_answered), _R), "counts")
+    parts = max(rounds, 1)
+    asked = shards.groupBy("shard").applyInArrow(common.tidy_group(lambda t: _asked(t, n, parts)), "kind int, shard int, bucket int, tokens binary, counts binary")
+    asked = common.materialise(asked, "asked")
+    found = common.materialise(asked.where("kind = 0").groupBy("bucket").applyInArrow(common.tidy_group(_answered), _R), "counts")
     sums = found.where("kind = 2")
     total = sums.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = total["n"] or 0, total["v"] or 0
@@ -458,10 +460,10 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, rounds: int = R
     counts = [r["word_counts"] for r in top]
     n_rest, v_rest = n_all - sum(counts), v_all - len(counts)
     flat = Network.start(np.array([*counts, n_rest], np.float64)).flat.tobytes()
-    samples = found.where("kind = 1").select("shard", "counts")
     sent = spark.sparkContext.broadcast(number)
-    for _ in range(rounds if n_all else 0):
-        models = samples.groupBy("shard").applyInArrow(_trainer(flat, sent), "shard int, weight double, flat binary")
+    for k in range(rounds if n_all else 0):
+        learned = asked.where(f"kind = 1 and bucket = {k}").select("shard", "tokens")
+        models = learned.mapInArrow(common.tidy(_trainer(flat, sent)), "shard int, weight double, flat binary")
         flat = tree_mean(models, n) or flat
     replies = found.where("kind = 0").select("shard", "bucket", "counts")
     final = spark.sparkContext.broadcast((flat, number))

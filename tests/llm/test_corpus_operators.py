@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -197,6 +198,16 @@ def test_scores(spark):
     assert gru_lm.score(frame(spark, [])).count() == 0
 
 
+def test_every_training_token_is_learned_from():
+    r = random.Random(8)
+    texts = ["x " * 40_000] + [" ".join(f"w{r.randrange(300)}" for _ in range(r.choice([0, 20, 3000]))) for _ in range(200)] + [None]
+    held = [i % 7 == 2 for i in range(len(texts))]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "held_out": held, "shard": pa.array([0] * len(texts), pa.int32())})
+    want = Counter(t for x, out in zip(texts, held) if not out for t in gru_lm.tokens_of((x or "").encode()))
+    rows = [x for x in gru_lm._asked(table, 4).to_pylist() if x["kind"] == 1]
+    assert Counter(t for x in rows for d in x["tokens"].split(b"\n") for t in gru_lm.tokens_of(d)) == want
+
+
 # --- archives
 
 
