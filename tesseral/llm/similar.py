@@ -20,11 +20,12 @@ from .components import components
 from .simhash import BROADCAST_ROWS, TREE_NODES, BKTree, _join_labels, dealt, fold, in_pairs, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-RADIUS = 18
+#: At the stated similarity 9.7 bits differ on average; more than these with a chance of 3e-6.
+RADIUS = 24
 BANDS, ROWS = 12, 3
 #: Least hashes in a sketch (one byte each of which is compared), and how many must agree.  At the
-#: stated similarity 38 of 48 do; under 29 it is over three standard deviations away.
-SKETCH, LEAST_EQUAL = 48, 29
+#: stated similarity 38 of 48 do, and under 25 with a chance of 3e-6.
+SKETCH, LEAST_EQUAL = 48, 25
 #: Text bytes of one candidate component that one task confirms; larger ones are dealt out in chunks.
 CHUNK_BYTES = 3 << 20
 _R = np.random.default_rng(64)

@@ -91,3 +91,20 @@ def test_blocks_repeated_a_different_number_of_times(spark):
         docs += [(2 * k, " ".join(w + block)), (2 * k + 1, " ".join(w + block * 20))]
     assert max(slow_groups(docs)) == 14 and len(set(slow_groups(docs))) == 8
     assert sorted(x["doc_id"] for x in similar.keep_one(frame(spark, docs)).collect()) == list(range(0, 16, 2))
+
+
+def far_pair(seed):
+    """Two texts at the stated similarity that share a shard and whose fingerprints differ in 19 bits or more."""
+    r = random.Random(seed)
+    while True:
+        w = [str(r.randrange(10**6)) for _ in range(84)]
+        a, b = " ".join(w[:74]), " ".join(w[7:81])  # 63 of 77 shingles are common
+        x, y = similar.sketch(a.encode(), 5), similar.sketch(b.encode(), 5)
+        if 19 <= (x[0] ^ y[0]).bit_count() and (x[3] == y[3]).any():
+            return a, b
+
+
+def test_pairs_with_distant_fingerprints(spark):
+    a, b = far_pair(2)
+    assert slow_groups([(0, a), (1, b)]) == [0, 0]
+    assert [x["doc_id"] for x in similar.keep_one(frame(spark, [(0, a), (1, b)])).collect()] == [0]
