@@ -159,3 +159,8 @@ def tidy_pair(f):
         return out
 
     return run
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The rows of all batches in one."""
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

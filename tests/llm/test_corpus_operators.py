@@ -152,12 +152,43 @@ def test_repeats(spark):
 # --- language model
 
 
+def network():
+    return gru_lm.Network.start(np.arange(gru_lm.HEAD, 0, -1.0), np.arange(1, gru_lm.TAIL + 1))
+
+
+def slow_logs(net, ids, off):
+    """Step by step: one token at a time, full softmax over classes and over the words of a class."""
+    soft = lambda a: a / (1 + np.abs(a))
+    share = lambda a: np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+    net, out = gru_lm.Network(net.flat.astype(np.float64)), []
+    for a, b in zip(off[:-1], off[1:]):
+        h, word = np.zeros(gru_lm.HIDDEN), gru_lm.START
+        for t in range(a, b):
+            gx = [net.emb[word] @ net.wx[k] + net.b[k, 0] for k in range(3)]
+            r, z = ((1 + soft(gx[k] + h @ net.wh[k])) / 2 for k in range(2))
+            n = soft(gx[2] + r * (h @ net.wh[2]))
+            h = (1 - z) * n + z * h
+            word = int(ids[t])
+            if word < gru_lm.HEAD:
+                k, w = divmod(word, gru_lm.CLASS_SIZE)
+                inside = share(h @ net.ww[k] + net.bw[k])[w]
+            else:
+                k, inside = gru_lm.HEAD_CLASSES + word - gru_lm.HEAD, 1.0
+            out.append(math.log(share(h @ net.wc + net.bc)[k] * inside))
+    return np.array(out)
+
+
 def test_gru_gradient():
     r = np.random.default_rng(0)
-    net = gru_lm.Network.start(np.arange(1024, 0, -1.0))
-    ids, off = r.integers(0, 1024, 60), np.array([0, 20, 45, 60])
-    x, y, fresh, _ = gru_lm.pack(ids, off, 2)
-    grad, _ = net.gradient(x, y, fresh, np.zeros((2, gru_lm.HIDDEN), np.float32))
+    net = network()
+    ids, off = r.integers(0, gru_lm.START, 60), np.array([0, 20, 45, 60])
+    x = np.append(gru_lm.START, ids[:-1])
+    x[off[:-1]] = gru_lm.START
+    fresh = np.isin(np.arange(60), off[:-1])
+    lanes = lambda a: np.stack((a[:45], np.append(a[45:], np.full(30, a[-1]))), 1)  # noqa: E731  (the second lane ends early)
+    y = lanes(ids)
+    y[15:, 1] = -1
+    grad, _ = net.gradient(lanes(x), y, lanes(fresh), np.zeros((2, gru_lm.HIDDEN), np.float32))
     for name, _ in net.SHAPES:
         g = getattr(grad, name).ravel()
         k, loss = int(np.argmax(np.abs(g))), []
@@ -168,10 +199,23 @@ def test_gru_gradient():
         assert abs((loss[0] - loss[1]) / 2e-2 - g[k]) < 0.02 * abs(g[k]) + 1e-5
 
 
+@pytest.mark.parametrize("trained", [False, True])
+def test_gru_scores_as_step_by_step(trained):
+    r = np.random.default_rng(4)
+    n = np.append(r.integers(1, 40, 700), [1, 900])
+    off = np.cumsum([0, *n])
+    ids = r.integers(0, gru_lm.START, off[-1])
+    net = network()
+    if trained:
+        gru_lm.Learner(net).learn(ids, off)
+    assert np.allclose(gru_lm.score_tokens(net, ids, off), slow_logs(net, ids, off), rtol=1e-4, atol=1e-4)
+
+
 def test_gru_is_a_distribution_and_carries_state():
-    net = gru_lm.train(gru_lm.Network.start(np.arange(1024, 0, -1.0)), np.arange(500) % 7, np.array([0, 500]))
+    net = network()
+    gru_lm.Learner(net).learn(np.arange(500) % 7, np.array([0, 500]))
     states = np.random.default_rng(1).normal(0, 1, (3, gru_lm.HIDDEN)).astype(np.float32)
-    total = [np.exp(net.log_probabilities(np.repeat(s[None], 1024, 0), np.arange(1024))).sum() for s in states]
+    total = [np.exp(net.log_probabilities(np.repeat(s[None], gru_lm.START, 0), np.arange(gru_lm.START))).sum() for s in states]
     assert np.allclose(total, 1, atol=1e-4)
     ids = np.arange(90) % 11
     whole = gru_lm.score_tokens(net, ids, np.array([0, 90]))
@@ -179,6 +223,14 @@ def test_gru_is_a_distribution_and_carries_state():
     assert np.allclose(whole, many, atol=1e-5)
 
 
+def test_gru_learns_what_follows():
+    """Four words in turn: a model without context gives log(1 / 4) a word at best."""
+    ids, off = np.tile([3, 9, 500, 1], 100_000), np.arange(0, 400_001, 400)
+    net = network()
+    gru_lm.Learner(net).learn(ids, off)
+    assert gru_lm.score_tokens(net, ids[:4000], off[:11]).mean() > 0.5 * math.log(1 / 4)
+
+
 def test_scores(spark):
     r = random.Random(6)
     docs = [(i, " ".join(r.choice(["The", "cat", "sat", f"w{r.randrange(200)}"]) for _ in range(r.choice([0, 1, 30])))) for i in range(120)] + [(500, None), (501, ""), (None, "The cat"), (3, "again"), (502, "x " * 4000)]
@@ -198,14 +250,43 @@ def test_scores(spark):
     assert gru_lm.score(frame(spark, [])).count() == 0
 
 
-def test_every_training_token_is_learned_from():
+def test_every_training_token_is_learned_from(monkeypatch):
+    """All windows of all rounds together hold each training token once as a target, after the token before it."""
     r = random.Random(8)
     texts = ["x " * 40_000] + [" ".join(f"w{r.randrange(300)}" for _ in range(r.choice([0, 20, 3000]))) for _ in range(200)] + [None]
     held = [i % 7 == 2 for i in range(len(texts))]
-    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "held_out": held, "shard": pa.array([0] * len(texts), pa.int32())})
-    want = Counter(t for x, out in zip(texts, held) if not out for t in gru_lm.tokens_of((x or "").encode()))
-    rows = [x for x in gru_lm._asked(table, 4).to_pylist() if x["kind"] == 1]
-    assert Counter(t for x in rows for d in x["tokens"].split(b"\n") for t in gru_lm.tokens_of(d)) == want
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "held_out": held})
+    rows = gru_lm._packed(batch, 0, 4).to_pylist()
+    row = rows[-1]
+    tokens, ids, off = row["tokens"].split(b"\n"), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["off"], np.int64)
+    want = Counter()
+    for x, out in zip(texts, held):
+        if not out:
+            w = gru_lm.tokens_of((x or "").encode())
+            want.update(zip([None, *w], w))
+    words = {t: k for k, t in enumerate(tokens)}  # 301 distinct: each is a word of its own
+    assert len(words) < gru_lm.HEAD
+    got, fresh_lanes = Counter(), 0
+
+    def gradient(self, x, y, fresh, h):
+        nonlocal fresh_lanes
+        for a, b in zip(x.ravel().tolist(), y.ravel().tolist()):
+            if b >= 0:
+                got[None if a == gru_lm.START else tokens[a], tokens[b]] += 1
+        return gru_lm.Network(np.zeros(self.SIZE, np.float32)), h
+
+    monkeypatch.setattr(gru_lm.Network, "gradient", gradient)
+    for k in range(3):
+        local, o = gru_lm.training_part(ids, off, np.array(held), k, 3)
+        gru_lm.Learner(network()).learn(np.array([words[t] for t in tokens])[local], o)
+    assert got == want
+    asked = [x for x in rows if x["kind"] == 0]
+    assert sorted(t for x in asked for t in x["tokens"].split(b"\n")) == sorted(tokens)
+    counts = {t: c for x in asked for t, c in zip(x["tokens"].split(b"\n"), np.frombuffer(x["counts"], np.int64).tolist())}
+    known = Counter()
+    for (_, t), c in want.items():
+        known[t] += c
+    assert {t: c for t, c in counts.items() if c} == known
 
 
 # --- archives
