@@ -62,11 +62,14 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage."""
+def materialise(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage.
+
+    ``row_group``: bytes of a row group, for tables whose rows are large.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    df.write.options(**({"parquet.block.size": row_group} if row_group else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -47,10 +47,12 @@ SOFTMAX_ROWS = 2048
 RATE = 0.02
 #: Text bytes of one chunk, unless one document has more.
 CHUNK_BYTES = 6 << 20
+#: Bytes of a row group where a row may have megabytes.
+ROW_GROUP = 16 << 20
 END = b""
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_CHUNKS = "kind int, chunk long, bucket int, tokens binary, places binary, counts binary, tails binary, ids binary, off binary, doc_id binary, no_id binary, held binary"
-_REPLIES = "kind int, chunk long, bucket int, places binary, counts binary, n long, v long, words array<binary>, word_counts array<long>, tail_n array<long>, tail_v array<long>"
+_CHUNKS = "kind int, chunk long, bucket int, tokens binary, counts binary, tails binary, ids binary, off binary, doc_id binary, no_id binary, held binary"
+_REPLIES = "kind int, chunk long, bucket int, counts binary, n long, v long, words array<binary>, word_counts array<long>, tail_n array<long>, tail_v array<long>"
 _MODELS = "weight double, flat binary"
 
 #: Class and place in the class of each word; the last entry, which -1 finds, is for no word.
@@ -397,11 +399,11 @@ def _packed(batch: pa.RecordBatch, number: int, buckets: int) -> pa.RecordBatch:
     del docs
     distinct = list(index)
     known = np.bincount(ids[np.repeat(~held, np.diff(off))], minlength=len(distinct))
-    rows = [(0, number, b, b"\n".join([distinct[i] for i in p.tolist()]), p.astype(np.int32).tobytes(), known[p].tobytes(), None, None, None, None, None, None) for b, p in _owned(distinct, buckets)]
+    rows = [(0, number, b, b"\n".join([distinct[i] for i in p.tolist()]), known[p].astype(np.int32).tobytes(), None, None, None, None, None, None) for b, p in _owned(distinct, buckets)]
     no_id = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-    rows.append((1, number, -1, b"\n".join(distinct), None, None, np.fromiter(map(tail_class, distinct), np.uint8, len(distinct)).tobytes(), ids.tobytes(), off.astype(np.int64).tobytes(), common.ints(batch.column("doc_id")).tobytes(), no_id.tobytes(), held.tobytes()))
-    kinds = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 9
-    names = ["kind", "chunk", "bucket", "tokens", "places", "counts", "tails", "ids", "off", "doc_id", "no_id", "held"]
+    rows.append((1, number, -1, b"\n".join(distinct), None, np.fromiter(map(tail_class, distinct), np.uint8, len(distinct)).tobytes(), ids.tobytes(), off.astype(np.int64).tobytes(), common.ints(batch.column("doc_id")).tobytes(), no_id.tobytes(), held.tobytes()))
+    kinds = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 8
+    names = ["kind", "chunk", "bucket", "tokens", "counts", "tails", "ids", "off", "doc_id", "no_id", "held"]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
@@ -426,25 +428,25 @@ def _answered(table: pa.Table) -> pa.Table:
     """The bucket's total counts for each chunk that asked (kind 0); its sums and most frequent tokens once (kind 2)."""
     index: defaultdict = defaultdict(count().__next__)
     asked = []
-    for s, b, toks, places, counts in zip(*(table.column(c).to_pylist() for c in ("chunk", "bucket", "tokens", "places", "counts"))):
+    for s, b, toks, counts in zip(*(table.column(c).to_pylist() for c in ("chunk", "bucket", "tokens", "counts"))):
         ts = toks.split(b"\n")
-        asked.append((s, b, np.fromiter(map(index.__getitem__, ts), np.int64, len(ts)), places, np.frombuffer(counts, np.int64)))
+        asked.append((s, b, np.fromiter(map(index.__getitem__, ts), np.int64, len(ts)), np.frombuffer(counts, np.int32)))
     out = []
     if asked:
         total = np.zeros(len(index), np.int64)
-        for _, _, at, _, counts in asked:
+        for _, _, at, counts in asked:
             total[at] += counts  # a chunk names a token once
-        for s, b, at, places, _ in asked:
-            out.append((0, s, b, places, total[at].tobytes(), 0, 0, None, None, None, None))
+        for s, b, at, _ in asked:
+            out.append((0, s, b, total[at].tobytes(), 0, 0, None, None, None, None))
         names, seen = list(index), np.flatnonzero(total)
         tails = np.fromiter((tail_class(names[i]) for i in seen.tolist()), np.int64, len(seen))
         top = heapq.nsmallest(HEAD, ((-c, names[i]) for i, c in zip(seen.tolist(), total[seen].tolist())))
         tail_n = np.bincount(tails, total[seen], TAIL).astype(np.int64).tolist()
-        out.append((2, -1, asked[0][1], None, None, int(total.sum()), len(seen), [t for _, t in top], [-c for c, _ in top], tail_n, np.bincount(tails, minlength=TAIL).tolist()))
-    cols = list(zip(*out)) or [[]] * 11
+        out.append((2, -1, asked[0][1], None, int(total.sum()), len(seen), [t for _, t in top], [-c for c, _ in top], tail_n, np.bincount(tails, minlength=TAIL).tolist()))
+    cols = list(zip(*out)) or [[]] * 10
     longs = pa.list_(pa.int64())
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), longs, longs, longs]
-    names = ("kind", "chunk", "bucket", "places", "counts", "n", "v", "words", "word_counts", "tail_n", "tail_v")
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), longs, longs, longs]
+    names = ("kind", "chunk", "bucket", "counts", "n", "v", "words", "word_counts", "tail_n", "tail_v")
     return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, cols, kinds)})
 
 
@@ -506,14 +508,15 @@ def tree_mean(models: DataFrame, fan: int = 16) -> bytes | None:
     return (flat / w.sum()).astype(np.float32).tobytes()
 
 
-def _scored(chunk: pa.Table, replies: pa.Table, flat: bytes, number: dict[bytes, int], n: int, v: int, tail: np.ndarray) -> pa.Table:
+def _scored(chunk: pa.Table, replies: pa.Table, flat: bytes, number: dict[bytes, int], n: int, v: int, tail: np.ndarray, buckets: int) -> pa.Table:
     if not chunk.num_rows:
         return _result(pa.array([], pa.int64()), [], [], [], n, [], [])
     row = {c: chunk.column(c)[0].as_py() for c in ("tokens", "tails", "ids", "off", "doc_id", "no_id", "held")}
     word = _words(row["tokens"], row["tails"], number)
     counts = np.zeros(len(word), np.int64)
-    for p, c in zip(replies.column("places").to_pylist(), replies.column("counts").to_pylist()):
-        counts[np.frombuffer(p, np.int32)] = np.frombuffer(c, np.int64)
+    answer = dict(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist()))
+    for b, p in _owned(row["tokens"].split(b"\n"), buckets):
+        counts[p] = np.frombuffer(answer[b], np.int64)
     local, off = np.frombuffer(row["ids"], np.int32), np.frombuffer(row["off"], np.int64)
     base = np.log10((counts + 1) / (n + 1 * (v + 1)))
     share = np.where(word < HEAD, 0.0, np.log10((counts + 1) / (tail[np.maximum(word - HEAD, 0)] + 1)))
@@ -543,10 +546,10 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, rounds: int = R
     spark = docs.sparkSession
     n = common.parallelism(docs)
     base = docs.select(*common.doc_columns(docs, "doc_id")).withColumn("held_out", held_out_column(F.col("doc_id"), modulus, remainder))
-    packed = common.materialise(base.mapInArrow(common.tidy(_chunker(n)), _CHUNKS), "chunks")
+    packed = common.materialise(base.mapInArrow(common.tidy(_chunker(n)), _CHUNKS), "chunks", ROW_GROUP)
     chunks = packed.where("kind = 1")
-    asked = packed.where("kind = 0").select("chunk", "bucket", "tokens", "places", "counts")
-    found = common.materialise(asked.groupBy("bucket").applyInArrow(common.tidy_group(_answered), _REPLIES), "counts")
+    asked = packed.where("kind = 0").select("chunk", "bucket", "tokens", "counts")
+    found = common.materialise(asked.groupBy("bucket").applyInArrow(common.tidy_group(_answered), _REPLIES), "counts", ROW_GROUP)
     sums = found.where("kind = 2")
     total = sums.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = total["n"] or 0, total["v"] or 0
@@ -565,12 +568,12 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, rounds: int = R
     for k in range(rounds if n_all else 0):
         learned = chunks.select("tokens", "tails", "ids", "off", "held").mapInArrow(common.tidy(_trainer(flat, sent, k, rounds)), _MODELS)
         flat = tree_mean(common.materialise(learned, "models")) or flat
-    replies = found.where("kind = 0").select("chunk", "places", "counts")
+    replies = found.where("kind = 0").select("chunk", "bucket", "counts")
     final = spark.sparkContext.broadcast((flat, number, tail_n + tail_v))
     one = chunks.select("chunk", "tokens", "tails", "ids", "off", "doc_id", "no_id", "held")
 
     def judged(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         net, words, tail = final.value
-        return _scored(chunk, answers, net, words, n_all, v_all, tail)
+        return _scored(chunk, answers, net, words, n_all, v_all, tail, n)
 
     return one.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(common.tidy_pair(judged), SCHEMA)

@@ -282,7 +282,7 @@ def test_every_training_token_is_learned_from(monkeypatch):
     assert got == want
     asked = [x for x in rows if x["kind"] == 0]
     assert sorted(t for x in asked for t in x["tokens"].split(b"\n")) == sorted(tokens)
-    counts = {t: c for x in asked for t, c in zip(x["tokens"].split(b"\n"), np.frombuffer(x["counts"], np.int64).tolist())}
+    counts = {t: c for x in asked for t, c in zip(x["tokens"].split(b"\n"), np.frombuffer(x["counts"], np.int32).tolist())}
     known = Counter()
     for (_, t), c in want.items():
         known[t] += c
