@@ -195,6 +195,7 @@ def test_leaks_of_nothing(spark, odd, empty):
 def test_urls(spark):
     rules = url_filters.HOST_RULES
     urls = [None, "", "no scheme", "http://", "HTTP://Www.Example.COM/en/x?y#z", "https://m.example.com/en/", "https://example.com/en", "http://x.net/es/a", "http://net/fr/", "http://notnet/fr/", "ftp://a.org/casino/", "http://a.org/casinos/", "http://a.org?u=http://b.net/es/", "http://a.org/x\ny/wp-login.php", "http://com", "http://.../", "http://a.org/cgi-bin/t.cgi"]
+    urls += ["http://www.freeporn.org/", "http://free-porn.org/a", "http://a.org/porn", "http://a.org/porns", "http://www.cheap-pills.org/", "http://cheappills.org/", "http://a.org/x/buy_software.html", "http://a.org/buy-softwares", "http://linkfarm.org", "http://spam-farms.org/q", "http://ads3.a.org/", "http://a.org/wp-signup.php", "http://a.org/login/", "http://" + "a." * 3000 + "org/" + "b/" * 3000 + "casino"]
     rows = url_filters.judge_urls(spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")).collect()
     for row, url in zip(sorted(rows, key=lambda x: x["page_id"]), urls):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
@@ -210,10 +211,33 @@ def test_urls(spark):
 
 
 def test_rarest_literal():
-    r = [url_filters.PatternRule("block", "a.b", ("aa", "bb")), url_filters.PatternRule("block", "a.c", ("aa", "cc"))]
-    assert url_filters.index_patterns(tuple(r)) == {"bb": [0], "cc": [1]}
-    with pytest.raises(ValueError):
-        url_filters.index_patterns((url_filters.PatternRule("block", "x", ()),))
+    r = [url_filters.PatternRule("block", "/aa.bb/"), url_filters.PatternRule("block", "/aa/bb/"), url_filters.PatternRule("block", "/aa/cc/"), url_filters.PatternRule("block", "aa")]
+    assert url_filters.index_patterns(tuple(r)) == ({"bb": [1], "cc": [2]}, [0, 3])
+
+
+@pytest.mark.parametrize("pattern,tokens", [
+    (r"(^|[./_-])casino([./_-]|$)", {"casino"}), (r"(^|[./_-])(free[._-]?)?porn([./_-]|$)", set()), (r"/wp-login\.php$", {"wp", "login", "php"}), (r"/cgi-bin/.*\.cgi$", {"cgi", "bin"}),
+    (r"casino/", set()), (r"/casino", set()), (r"/casinos?/", set()), (r"/(a|b)c/", set()), (r"/[a-z]x/", set()), (r"[^a-z]x/", set()), (r"[^0-9a-z]x9/", {"x9"}), (r"/(x|y)/z/", {"z"}), (r"/(xy)/", {"xy"}), (r"(/ab/)?c", set()), (r"x{2}/", set()), (r"/a|/b/", set()),
+])
+def test_literals_of_a_pattern(pattern, tokens):
+    assert url_filters.literals(pattern) == tokens
+
+
+def test_index_loses_no_match():
+    """Whatever a pattern matches holds the token that the pattern is filed under."""
+    r = random.Random(5)
+    index, rest = url_filters.index_patterns(url_filters.PATTERN_RULES)
+    filed = {i: t for t, ids in index.items() for i in ids}
+    assert len(filed) > 200 and set(filed) | set(rest) == set(range(len(url_filters.PATTERN_RULES)))
+    words = [*url_filters.SPAM_WORDS, *url_filters.OFFERS, *url_filters.GOODS, "wp", "login", "php", "cgi", "bin", "xmlrpc", "x", "free", "porn", ""]
+    hits = 0
+    for _ in range(3000):
+        url = "".join(r.choice(words) + r.choice(["", "", "-", "/", ".", "_"]) for _ in range(6))
+        for i, rule in enumerate(url_filters.PATTERN_RULES):
+            if re.search(rule.pattern, url):
+                hits += 1
+                assert i in rest or filed[i] in re.findall(url_filters.TOKEN, url)
+    assert hits > 500
 
 
 # --- classifier
