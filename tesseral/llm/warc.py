@@ -20,10 +20,10 @@ from . import common
 
 #: Payloads under so many bytes are always stored whole.
 REVISIT_BYTES = 1000
-#: Revisits (32 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
+#: Revisits or repeated digests (some 60 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Records of one archive file at most.
-FILE_RECORDS = 20_000
+#: Bytes of one archive file, unless one record has more: an archive is read as one value.
+ARCHIVE_BYTES = 32 << 20
 LEVEL = 5
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 ID = "urn:tesseral:page:"
@@ -62,27 +62,35 @@ def member(page_id: int | None, url: str | None, payload: bytes, digest: bytes,
     block = http + payload if refers_to is None else http
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     z = zlib.compressobj(LEVEL, wbits=31)
-    out = z.compress("\r\n".join(head).encode()) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
-    # the file writer ends each row with a zero byte, which is to be the member's own last one
-    return out[:-1] if out[-1] == 0 else out + _EMPTY[:-1]
+    return z.compress("\r\n".join(head).encode()) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
+
+
+def sealed(archive: bytes) -> bytes:
+    """The file writer ends each row with a zero byte, which is to be the last member's own last one."""
+    return archive[:-1] if archive[-1] == 0 else archive + _EMPTY[:-1]
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) of the rows whose payload a row with a larger page_id has too."""
+    """(page_id, digest, refers_to) of the rows whose payload a row with a larger page_id has too.
+
+    Most payloads occur once: only digests with two ids go on to the join.  They are written first, so that
+    both sides of a shuffled join are plain stages and a payload with a third of all rows can be split.
+    """
     payload = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
     slim = pages.select(pages["page_id"].cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= REVISIT_BYTES).select("page_id", "digest")
-    # most payloads occur once: only digests with two ids go on to the join
-    twice = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").select("digest", "refers_to")
-    return slim.join(twice, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull()).select("page_id", "digest", "refers_to").distinct()
+    twice = common.materialise(slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").select("digest", "refers_to"), "digests")
+    right = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    return slim.join(right, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull()).select("page_id", "digest", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a record for every row of ``pages`` (page_id, url, html) to gzip archives under ``path``.
 
     Of rows with equal payloads of REVISIT_BYTES or more, those with the largest page_id are
     responses and the others revisit it; all other rows are responses.  A null html is an empty
     payload, a null url leaves the target out, rows without an id are named ``none`` and revisit a
-    row that has one.  Repeated rows give repeated records.
+    row that has one.  Repeated rows give repeated records, rows of one id and one payload are all
+    responses or all revisits.  A very long payload is one record; an archive over ``archive_bytes`` holds one record.
     """
     found = common.materialise(revisits(pages), "revisits")
     small = found.count() <= BROADCAST_ROWS
@@ -91,24 +99,38 @@ def write_archives(pages: DataFrame, path: str) -> None:
     right = found.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
     rows = base.join(F.broadcast(right) if small else right, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
 
+    def row(archive: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([sealed(b"".join(archive))], pa.binary())], names=["value"])
+
     def run(batches):
+        archive, size = [], 0
         for whole in batches:
             for b in common.pieces(whole):
                 fields = [b.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to")]
-                out = [member(i, u, t, bytes.fromhex(d), r) for i, u, d, r, t in zip(*fields, common.blobs(b.column("html")))]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                for i, u, d, r, t in zip(*fields, common.blobs(b.column("html"))):
+                    m = member(i, u, t, bytes.fromhex(d), r)
+                    if archive and size + len(m) > archive_bytes:
+                        yield row(archive)
+                        archive, size = [], 0
+                    archive.append(m)
+                    size += len(m)
+        if archive:
+            yield row(archive)
 
     records = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "value binary")
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_members(data: bytes):
     """(offset, length, content) of each gzip member; empty members belong to the one before."""
-    at, held = 0, None
+    at, held, view = 0, None, memoryview(data)
     while at < len(data):
-        z = zlib.decompressobj(wbits=31)
-        content = z.decompress(memoryview(data)[at:])
-        size = len(data) - at - len(z.unused_data)
+        z, parts, end, step = zlib.decompressobj(wbits=31), [], at, 4096
+        while not z.eof and end < len(data):  # in slices: what lies behind the member is copied
+            more = view[end : end + step]
+            parts.append(z.decompress(more))
+            end, step = end + len(more), min(2 * step, 1 << 20)
+        content, size = b"".join(parts), end - at - len(z.unused_data)
         if not z.eof:
             raise ValueError(f"archive ends inside the record at byte {at}")
         if content:

@@ -325,11 +325,24 @@ def test_archives(spark, tmp_path):
 
 def test_large_record_ends_with_zero():
     payload = random.Random(1).randbytes(1 << 10) * (17 << 10)
-    m = warc.member(1, "u", payload, hashlib.sha1(payload).digest(), None) + b"\0"
+    m = warc.sealed(warc.member(1, "u", payload, hashlib.sha1(payload).digest(), None)) + b"\0"
     ((_, n, content),) = warc.read_members(m)
     assert n == len(m) and warc.parse(content)["intact"]
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    r = random.Random(2)
+    pages = [(i, f"http://a.org/{i}", "".join(r.choice("abcdefgh") for _ in range(20_000 if i == 7 else 900))) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"), 5000)
+    files = [bytes(x["content"]) for x in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(str(tmp_path / "w")).collect()]
+    each = [[warc.parse(c)["page_id"] for _, _, c in warc.read_members(f)] for f in files]
+    assert sorted(sum(each, [])) == list(range(60)) and len(files) > 5
+    assert all(len(f) <= 5100 or len(e) == 1 for f, e in zip(files, each)) and [7] in each
+    with pytest.raises(ValueError):
+        list(warc.read_members(files[0][:-9]))
+
+
 # --- pipeline
 
 
