@@ -1,12 +1,13 @@
 """Token counts of a piece vocabulary (BPE with scores, byte fallback) without the ids.
 
-Texts are cut where no merge can cross; the distinct pieces of a batch become one ragged array, and
-all sequences merge their lowest-ranked pair at the same time until none is left.  The surviving
-symbols are the count.
+Texts are cut where no merge can cross: before a space, and between two characters that stand side by
+side in no piece of the vocabulary.  The distinct parts of a batch become one ragged array, and all
+sequences merge their lowest-ranked pair at the same time, wherever it occurs in them, until none is
+left.  The surviving symbols are the count.  A sequence takes as many rounds as ranks occur in it, however
+long it is.
 """
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -20,8 +21,6 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 LIMIT = 4096
 #: Piece counts that one Python worker remembers at most.
 CACHE_PIECES = 600_000
-#: Symbols from which a single sequence is merged with a heap instead of in step with the others.
-LONG = 256
 BAR = "▁"
 
 
@@ -56,6 +55,15 @@ class PieceModel:
         self.rank = np.array([table[k][0] for k in self.keys.tolist()] + [0], np.int64)
         self.made = np.array([table[k][1] for k in self.keys.tolist()] + [0], np.int64)
         self.none = len(order)
+        beside = {number[x] * self.size + number[y] for p in score for x, y in zip(p, p[1:])}
+        self.beside = np.array(sorted(beside), np.int64)
+        # symbols whose making may be followed by a merge of the same or a lower rank that involves them
+        own = np.full(self.size, -1, np.int64)
+        for p, v in score.items():
+            own[number[p]] = order[v]
+        self.early = np.zeros(self.size, bool)
+        for part in (self.keys // self.size, self.keys % self.size):
+            self.early[part[self.rank[:-1] <= own[part]]] = True
         self.first = np.array([min(4, 1 + (i > 0x7F) + (i > 0x7FF) + (i > 0xFFFF)) for i in (0, 0x80, 0x800, 0x10000)], np.int64)
         self.chars = np.repeat(self.first, [0x80, 0x780, 0xF800, 0x100000]).astype(np.int32)
         for p, i in number.items():
@@ -69,86 +77,60 @@ class PieceModel:
         hit = self.keys[np.minimum(at, len(self.keys) - 1)] == key if len(self.keys) else np.zeros(len(key), bool)
         return np.where(hit, self.rank[at], self.none), self.made[at]
 
-    def count_long(self, symbols: list[int]) -> int:
-        """One long sequence: candidate pairs in a heap, the leftmost of equal rank first."""
-        n = len(symbols)
-        sym, right, left = symbols[:], list(range(1, n + 1)), list(range(-1, n - 1))
-        rank, made = self.pair(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64))
-        heap = [(r, i, sym[i], sym[i + 1], m) for i, (r, m) in enumerate(zip(rank.tolist(), made.tolist())) if r < self.none]
-        heapq.heapify(heap)
-        dead = bytearray(n)
-
-        def push(i: int) -> None:
-            j = right[i]
-            if j < n:
-                key = sym[i] * self.size + sym[j]
-                at = int(np.searchsorted(self.keys, key))
-                if at < len(self.keys) and self.keys[at] == key:
-                    heapq.heappush(heap, (int(self.rank[at]), i, sym[i], sym[j], int(self.made[at])))
-
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = right[i] if not dead[i] else n
-            if dead[i] or sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i], dead[j], right[i] = m, 1, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            push(i)
-            if left[i] >= 0:
-                push(left[i])
-        return int(sum(self.weight[s] for s, d in zip(sym, dead) if not d))
-
     def counts(self, pieces: list[str]) -> np.ndarray:
-        """Tokens of each piece; rounds run over all pieces at once."""
-        out = np.zeros(len(pieces), np.int64)
+        """Tokens of each piece; rounds run over all sequences at once."""
+        if not pieces:
+            return np.zeros(0, np.int64)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
         sym = self.chars[points].astype(np.int64)
-        seq = np.repeat(np.arange(len(pieces)), size)
-        if (size > LONG).any():
-            ends = np.cumsum(size)
-            for k in np.flatnonzero(size > LONG).tolist():
-                out[k] = self.count_long(sym[ends[k] - size[k] : ends[k]].tolist())
-            short = (size <= LONG)[seq]
-            sym, seq = sym[short], seq[short]
+        piece = np.repeat(np.arange(len(pieces)), size)
+        total = np.zeros(len(pieces), np.int64)
         if not len(sym):
-            return out
+            return total
+        last = np.append(piece[1:] != piece[:-1], True)
+        pair = sym[:-1] * self.size + sym[1:]
+        at = np.searchsorted(self.beside, pair)
+        last[:-1] |= self.beside[np.minimum(at, len(self.beside) - 1)] != pair if len(self.beside) else True
         rank, made = self.pair(sym[:-1], sym[1:])
         rank, made = np.append(rank, self.none), np.append(made, 0)
-        last = np.append(seq[1:] != seq[:-1], True)
         rank[last] = self.none
         while len(sym):
             start = np.flatnonzero(np.concatenate(([True], last[:-1])))
-            place = np.arange(len(sym))
-            best = np.minimum.reduceat(rank * (1 << 32) + place, start)
-            live = best < self.none << 32
-            ids = seq[start]
+            least = np.minimum.reduceat(rank, start)
+            live = least < self.none
+            n = np.diff(np.append(start, len(sym)))
             if not live.all():  # finished sequences leave
-                total = np.add.reduceat(self.weight[sym], start)
-                out[ids[~live]] = total[~live]
-                stay = np.repeat(live, np.diff(np.append(start, len(sym))))
-                moved = np.cumsum(stay) - 1
-                best = best[live]
-                at = moved[best & 0xFFFFFFFF]
-                sym, seq, rank, made, last = sym[stay], seq[stay], rank[stay], made[stay], last[stay]
-            else:
-                at = best & 0xFFFFFFFF
-            if not len(sym):
-                break
+                gone = np.repeat(~live, n)
+                total += np.bincount(piece[gone], self.weight[sym[gone]], len(total)).astype(np.int64)
+                sym, piece, rank, made, last = (x[~gone] for x in (sym, piece, rank, made, last))
+                least, n = least[live], n[live]
+                if not len(sym):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, n))
+            # of overlapping pairs every other one, from the left
+            k = np.arange(len(at))
+            begins = np.concatenate(([True], at[1:] != at[:-1] + 1))
+            odd = (k - np.maximum.accumulate(np.where(begins, k, 0))) & 1
+            at = at[odd == 0]
+            wait = self.early[made[at]]
+            if wait.any():  # only the leftmost, as the next merge may be beside it
+                of = np.repeat(np.arange(len(n)), n)[at]
+                slow = np.zeros(len(n), bool)
+                slow[of[wait]] = True
+                at = at[~slow[of] | np.concatenate(([True], of[1:] != of[:-1]))]
             sym[at] = made[at]
             last[at] = last[at + 1]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            new = np.cumsum(keep) - 1
-            at = new[at]
-            sym, seq, rank, made, last = sym[keep], seq[keep], rank[keep], made[keep], last[keep]
+            at = (np.cumsum(keep) - 1)[at]
+            sym, piece, rank, made, last = (x[keep] for x in (sym, piece, rank, made, last))
             # the pairs on both sides of each new symbol
-            redo = np.unique(np.concatenate((at, np.maximum(at - 1, 0))))
+            redo = np.concatenate((at, np.maximum(at - 1, 0)))
             nxt = np.minimum(redo + 1, len(sym) - 1)
             r, m = self.pair(sym[redo], sym[nxt])
             rank[redo], made[redo] = np.where(last[redo], self.none, r), m
-        return out
+        return total
 
 
 class Counter:
@@ -205,7 +187,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text under the piece model at ``path``.
 
     Null and empty texts have no bytes and no tokens; repeated rows and null ids stay; only doc_id
-    and text are read, so other columns do not matter.  One pass, no shuffle; memory is one batch
-    slice and the bounded piece memory.
+    and text are read, so other columns do not matter.  An empty table gives no rows.  Of pairs with equal rank
+    the leftmost merges first.  A very long text is counted whole, with memory in proportion to it.  One pass,
+    no shuffle; memory is one batch slice and the bounded piece memory.
     """
     return docs.select(*common.doc_columns(docs, "doc_id")).mapInArrow(common.tidy(lambda it: count_batches(it, path, limit)), SCHEMA)
