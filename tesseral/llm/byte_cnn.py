@@ -16,10 +16,11 @@ from . import common
 CHUNK, OVERLAP = 512, 32
 EMBED, WIDTH, STRIDE, FILTERS = 8, 8, 2, 24
 PAD = 256
-#: Labelled rows that are fitted at most, those with the smallest hashed ids; and the evenly spaced
-#: chunks of each that training looks at.  Scoring always covers the whole text.
-MAX_LABELLED, TRAIN_CHUNKS = 4000, 6
-EPOCHS, BATCH, RATE = 6, 64, 0.004
+#: Labelled rows that are fitted at most, those with the smallest hashed ids, and the bytes of their whole
+#: texts: rows that no longer fit are left out.
+MAX_LABELLED, MAX_LABELLED_BYTES = 4000, 64 << 20
+#: Texts of one step, fewer if they have more chunks; chunks that are convolved together.
+EPOCHS, BATCH, BATCH_CHUNKS, BLOCK, RATE = 6, 64, 1024, 64, 0.004
 THRESHOLD = 0.7
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _PLACES = (CHUNK - WIDTH) // STRIDE + 1
@@ -65,7 +66,7 @@ class ByteCNN:
         x = np.concatenate((np.maximum.reduceat(top, first), np.add.reduceat(top, first) / count[:, None]), 1)
         return x, x @ self.p["out"] + self.p["bias"]
 
-    def score(self, data: np.ndarray, off: np.ndarray, step: int = 64) -> np.ndarray:
+    def score(self, data: np.ndarray, off: np.ndarray, step: int = BLOCK) -> np.ndarray:
         """Probability of label 1 for each whole text."""
         count = chunk_counts(np.diff(off))
         first = np.cumsum(count) - count
@@ -79,7 +80,11 @@ class ByteCNN:
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
     def gradient(self, chunks: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        top, place, patches = self.pooled(chunks, places=True)
+        parts = []
+        for i in range(0, len(chunks), BLOCK):  # of the patches only the winning ones stay
+            t, p, patches = self.pooled(chunks[i : i + BLOCK], places=True)
+            parts.append((t, p, patches[np.arange(len(t))[:, None], p]))
+        top, place, won = (np.concatenate(c) for c in zip(*parts))  # won: chunks, filters, width * embed
         x, z = self.logits(top, first)
         count = np.diff(np.append(first, len(top)))
         d = ((1 / (1 + np.exp(-z)) - label) / len(label)).astype(np.float32)
@@ -90,8 +95,6 @@ class ByteCNN:
         dtop = np.where(best, dx[:, :FILTERS][of], 0) + dx[:, FILTERS:][of] / count[of][:, None]
         dtop = (dtop * (top > 0)).astype(np.float32)
         g["b"] = dtop.sum(0)
-        rows = np.arange(len(chunks))[:, None]
-        won = patches[rows, place]  # chunks, filters, width * embed
         g["w"] = np.einsum("cfk,cf->kf", won, dtop)
         dpatch = dtop[:, :, None] * self.p["w"].T[None]
         at = place[:, :, None] * STRIDE + np.arange(WIDTH)
@@ -101,8 +104,20 @@ class ByteCNN:
         return g
 
 
-def fit(texts: list[list[np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> ByteCNN:
-    """Adam on the log loss; ``texts`` holds the chunk rows of each text.  No texts: the start network."""
+def steps(order: np.ndarray, count: np.ndarray):
+    """Texts in turn, BATCH of them at most and BATCH_CHUNKS chunks, or one text with more."""
+    pick: list[int] = []
+    for k in order.tolist():
+        if pick and (len(pick) == BATCH or count[pick].sum() + count[k] > BATCH_CHUNKS):
+            yield np.array(pick)
+            pick = []
+        pick.append(k)
+    if pick:
+        yield np.array(pick)
+
+
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> ByteCNN:
+    """Adam on the log loss over all chunks of all ``texts``.  No texts: the start network."""
     net, r = ByteCNN.start(seed), np.random.default_rng(seed)
     if not len(labels):
         return net
@@ -110,13 +125,15 @@ def fit(texts: list[list[np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS,
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
     p = np.clip(labels.mean(), 0.01, 0.99)
     net.p["bias"][:] = np.log(p / (1 - p))
-    t = 0
+    t, chunks = 0, chunk_counts(np.array([len(x) for x in texts]))
     for _ in range(epochs):
-        order = r.permutation(len(labels))
-        for i in range(0, len(order), BATCH):
-            pick = order[i : i + BATCH]
-            count = np.array([len(texts[k]) for k in pick])
-            g = net.gradient(np.concatenate([texts[k] for k in pick]), np.cumsum(count) - count, labels[pick].astype(np.float32))
+        for pick in steps(r.permutation(len(labels)), chunks):
+            count = chunks[pick]
+            first = np.cumsum(count) - count
+            text = np.repeat(np.arange(len(pick)), count)
+            off = np.cumsum([0] + [len(texts[k]) for k in pick])
+            data = np.frombuffer(b"".join([texts[k] for k in pick]), np.uint8)
+            g = net.gradient(chunk_matrix(data, off, text, np.arange(len(text)) - first[text]), first, labels[pick].astype(np.float32))
             t += 1
             for k, v in net.p.items():
                 m[k] += 0.1 * (g[k] - m[k])
@@ -130,39 +147,35 @@ def held_out_column(doc_id, modulus: int = 4, remainder: int = 2):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ByteCNN:
-    """A network fitted to at most ``max_labelled`` labelled rows that are not held out.
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_LABELLED_BYTES) -> ByteCNN:
+    """A network fitted to the whole texts of at most ``max_labelled`` labelled rows that are not held out.
 
-    Only TRAIN_CHUNKS chunks of each come to the driver.  Conflicting labels of one id: the lowest;
-    labels other than 0 and 1 and rows with nulls are left out.
+    Their texts come to the driver, ``max_bytes`` at most: in the order of hashed ids, a row that no longer
+    fits is left out.  Conflicting labels of one id: the lowest; of several texts of one id: the least; labels
+    other than 0 and 1 and rows with nulls are left out.  Empty tables give the start network.
     """
     chosen = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).dropna().where("quality in (0, 1)")
     chosen = chosen.where(~held_out_column(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    known = docs.select(*common.doc_columns(docs, "doc_id")).join(F.broadcast(chosen), "doc_id")
-
-    def cut(batches):
-        for whole in batches:
-            for b in common.pieces(whole):
-                data, off = common.utf8(b.column("text"))
-                count = chunk_counts(np.diff(off))
-                rows = []
-                for i, c in enumerate(count.tolist()):
-                    index = np.unique(np.linspace(0, c - 1, min(c, TRAIN_CHUNKS)).round().astype(np.int64))
-                    rows.append(chunk_matrix(data, off, np.full(len(index), i), index).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "chunks"])
-
-    rows = known.select("doc_id", "quality", "text").mapInArrow(common.tidy(cut), "doc_id long, quality int, chunks binary")
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks")).collect()  # an id's first row only
-    rows = sorted((r["doc_id"], r["quality"], bytes(r["chunks"])) for r in rows)
-    return fit([np.frombuffer(c, np.int16).reshape(-1, CHUNK) for _, _, c in rows], np.array([q for _, q, _ in rows], np.float32))
+    known = docs.select(*common.doc_columns(docs, "doc_id")).join(F.broadcast(chosen), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    sizes = known.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    ids, room = [], max_bytes
+    for r in sizes:
+        if r["n"] <= room:
+            ids.append((r["doc_id"],))
+            room -= r["n"]
+    fits = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long"))
+    rows = known.join(fits, "doc_id", "left_semi").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    rows = sorted((r["doc_id"], r["quality"], r["text"].encode()) for r in rows)
+    return fit([t for _, _, t in rows], np.array([q for _, q, _ in rows], np.float32))
 
 
 def score(docs: DataFrame, net: ByteCNN) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; whole texts, one narrow pass.
 
-    Null texts are empty; an empty text is one chunk of padding and gets a score too.  Repeated rows
-    are scored alike; an empty table gives no rows; only doc_id and text are read.
+    Null texts are empty; an empty text is one chunk of padding and gets a score too.  A very long text is
+    covered by as many chunks as it takes, convolved in blocks.  Repeated rows are scored alike; an empty
+    table gives no rows; only doc_id and text are read.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(net.p)

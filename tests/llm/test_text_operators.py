@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -135,6 +136,8 @@ def test_counts_equal_library(odd, empty):
     for alphabet in ("ab", "etaoin shr", "     \n\t", "0123456789", "éàß漢字😀²½ x", "<s></s>a ", " ▁a", "aaab", "\x00 a​"):
         texts = ["".join(r.choice(alphabet) for _ in range(n)) for n in (0, 1, 5, 30, 300, 700) for _ in range(8)]
         assert count(texts) == [len(x) for x in library.encode(texts)]
+    texts = [r.choice(["ab", "漢字", "xyzzy"]) * 60_000, "".join(r.choice("etaoinshrdlu") for _ in range(100_000)), "a" * 100_000]
+    assert count(texts) == [len(x) for x in library.encode(texts)]  # one sequence each
     rows = token_counts.count_tokens(odd, path, limit=100).collect()
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "")), n > 100) for i, t, _ in ODD]
     assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
@@ -265,6 +268,45 @@ def test_cnn_gradient():
         assert abs((a - b) / (2 * e) - g[i]) < 1e-3 * max(1, abs(g[i]))
 
 
+def slow_score(net, text):
+    """One chunk, one place and one filter at a time."""
+    e, w, b = (net.p[k].astype(float) for k in ("emb", "w", "b"))
+    n, step = byte_cnn.CHUNK, byte_cnn.CHUNK - byte_cnn.OVERLAP
+    tops = []
+    for begin in range(0, max(1, len(text) - byte_cnn.OVERLAP), step):
+        chunk = [*text[begin : begin + n]]
+        chunk += [byte_cnn.PAD] * (n - len(chunk))
+        best = np.full(byte_cnn.FILTERS, -np.inf)
+        for at in range(0, n - byte_cnn.WIDTH + 1, byte_cnn.STRIDE):
+            best = np.maximum(best, np.concatenate([e[c] for c in chunk[at : at + byte_cnn.WIDTH]]) @ w)
+        tops.append(np.maximum(best + b, 0))
+    z = np.concatenate((np.max(tops, 0), np.mean(tops, 0))) @ net.p["out"].astype(float) + float(net.p["bias"][0])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_cnn_scores_as_place_by_place():
+    r = random.Random(3)
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 511, 513, 992, 993, 30_000)]
+    net = byte_cnn.fit(texts, np.array([0, 1, 0, 1, 0, 1, 1], np.float32), epochs=3)
+    off = np.cumsum([0] + [len(t) for t in texts])
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), off)
+    assert np.allclose(got, [slow_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_cnn_fits_all_chunks(monkeypatch):
+    texts = [b"a" * 100, b"b" * 40_000, b"", b"c" * 700_000]
+    seen = Counter()
+
+    def gradient(self, chunks, first, label):
+        for text in np.split(chunks, first[1:]):
+            seen["abc".index(chr(text[0, 0])) if text[0, 0] != byte_cnn.PAD else -1] += len(text)
+        return {k: np.zeros_like(v) for k, v in self.p.items()}
+
+    monkeypatch.setattr(byte_cnn.ByteCNN, "gradient", gradient)
+    byte_cnn.fit(texts, np.array([0, 1, 0, 1], np.float32), epochs=1)
+    assert [seen[k] for k in (0, 1, -1, 2)] == byte_cnn.chunk_counts(np.array([100, 40_000, 0, 700_000])).tolist()
+
+
 def test_chunks_cover_whole_texts():
     for n in (0, 1, 511, 512, 513, 992, 993, 5000):
         data, off = np.arange(n).astype(np.uint8), np.array([0, n])
