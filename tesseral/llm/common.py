@@ -11,11 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Characters between words wherever a contract says ``[^\x20\x09-\x0D]+``.
 WORD_BREAKS = "\t\n\x0b\x0c\r "
 #: Text bytes one shard should hold; shards are the unit a Python task keeps in memory.
-SHARD_BYTES = 5 << 20
+SHARD_BYTES = 8 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -52,9 +53,13 @@ def ints(column: pa.Array, fill: int = NO_ID) -> np.ndarray:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: the session's spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, local runs) a folder of this machine is used.
+    Where that setting is absent and all executors are threads of this process (tests, local runs) a folder
+    of this machine is used; a cluster must name one.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tesseral-shared")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or "file://" + os.path.join(tempfile.gettempdir(), "tesseral-shared")
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -77,22 +82,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of what the plan reads, files as they are stored.
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """UTF-8 bytes of all texts: one scan of one column, which stays in the JVM."""
+    return docs.agg(F.sum(F.octet_length(docs[text].cast("string"))).alias("n")).first()["n"] or 0
 
-    Catalyst's estimate of the plan itself shrinks with each column left out as if all columns were
-    equally wide, which the text is not.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
+def parallelism(size: int, spark: SparkSession, target: int = SHARD_BYTES) -> int:
+    """Number of shards or buckets for ``size`` bytes, never under the session's setting."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // target))
 
-def parallelism(df: DataFrame, target: int = SHARD_BYTES) -> int:
-    """Number of shards or buckets: follows the input size, never under the session's setting."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = estimated_bytes(df)
-    return max(least, min(1 << 20, -(-size // target)) if size < 1 << 60 else least)
+
+def with_fields(schema: StructType, more: str) -> StructType:
+    """``schema`` with the fields of a DDL string behind its own; names of any kind, all may be null."""
+    return StructType([StructField(f.name, f.dataType, True) for f in schema] + list(DataType.fromDDL(more)))
 
 
 def doc_columns(docs: DataFrame, key: str, text: str = "text") -> list[Column]:
@@ -100,16 +102,6 @@ def doc_columns(docs: DataFrame, key: str, text: str = "text") -> list[Column]:
     return [docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")]
 
 
-def sharded(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, shard): each shard is a pseudo-random set of whole documents.
-
-    Rows without an id are spread by their text, so that they do not meet in one shard.
-    """
-    out = docs.select(*doc_columns(docs, key, text))
-    mixed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return out.withColumn("shard", F.pmod(mixed, F.lit(shards)).cast("int")).repartition(shards, "shard")
-
-
 def pieces(batch: pa.RecordBatch, limit: int = 16 << 20):
     """Slices of a batch with about ``limit`` bytes at most each, whole rows only."""
     if batch.num_rows and batch.nbytes > limit:

@@ -189,7 +189,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     blocks = max(1, -(-total // block_bytes))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = docs.select(*common.doc_columns(docs, "doc_id"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields) + ", n_words long, n_hit long, hits binary, items array<string>"
+    fields = common.with_fields(out.schema, "n_words long, n_hit long, hits binary, items array<string>")
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         rows = sorted((r["item"], r["text"].encode()) for r in part.toLocalIterator())

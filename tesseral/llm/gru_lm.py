@@ -544,7 +544,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, rounds: int = R
     Empty tables give no rows.  Only doc_id and text are read.
     """
     spark = docs.sparkSession
-    n = common.parallelism(docs)
+    n = common.parallelism(common.text_bytes(docs), spark)
     base = docs.select(*common.doc_columns(docs, "doc_id")).withColumn("held_out", held_out_column(F.col("doc_id"), modulus, remainder))
     packed = common.materialise(base.mapInArrow(common.tidy(_chunker(n)), _CHUNKS), "chunks", ROW_GROUP)
     chunks = packed.where("kind = 1")

@@ -128,7 +128,8 @@ def _best_test(x: np.ndarray, bad: np.ndarray) -> tuple[float, Test | None]:
 def learn(x: np.ndarray, bad: np.ndarray, held: np.ndarray, precision: float = 0.98, max_rules: int = 12, max_tests: int = 4) -> list[Rule]:
     """Ordered rules for the ``bad`` rows.  ``held`` marks the rows that prune and accept rules.
 
-    Deterministic; no rows of one of the classes: no rules.
+    Deterministic: of thresholds with equal gain the first feature, then the lowest, then "below" wins.  No rows
+    of one of the classes: no rules.
     """
     rules: list[Rule] = []
     grow, prune = ~held, held
@@ -197,7 +198,8 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, STATS, base_failed and kept for each row of ``docs``.
 
     Null or empty texts have no words and so fail the base thresholds; repeated rows are judged one
-    by one; an empty table gives no rows; only doc_id and text are read.
+    by one; very long texts are judged whole, with memory in proportion; an empty table gives no rows; only doc_id
+    and text are read.
     """
     s = statistics(docs)
     return s.select("*", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
@@ -206,7 +208,8 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def filter_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns (one text column), without a join.
 
-    The statistics are computed beside the row in the pass that reads it.
+    The statistics are computed beside the row in the pass that reads it.  Null and empty texts go; very long
+    ones are judged whole; an empty table gives no rows; repeated rows are judged one by one.
     """
     names = docs.columns
     inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
@@ -220,7 +223,6 @@ def filter_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *STATS])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields)
-    out = inner.mapInArrow(common.tidy(run), fields + ", " + ", ".join(f"{s} long" for s in STATS))
+    out = inner.mapInArrow(common.tidy(run), common.with_fields(inner.schema, ", ".join(f"{s} long" for s in STATS)))
     kept = out.filter(~base_failed() & verdict(rules))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

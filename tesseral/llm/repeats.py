@@ -348,14 +348,14 @@ def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
-    n = common.parallelism(docs)
+    n = common.parallelism(common.text_bytes(docs), docs.sparkSession)
     mixed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     shards = keyed.withColumn("shard", F.pmod(mixed, F.lit(n)).cast("int")).repartition(n, "shard")
     digits = shards.groupBy("shard").applyInArrow(common.tidy_group(lambda t: _digits_of_shard(t, n)), "bucket int, shard int, digits binary, many binary")
     shared = digits.groupBy("bucket").applyInArrow(common.tidy_group(_shared_digits), "shard int, bucket int, digits binary")
     found = shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(common.tidy_pair(lambda a, b: _runs_of_shard(a, b, n)), _RUNS)
     covered = found.groupBy("bucket").applyInArrow(common.tidy_group(_sort_bucket), "shard int, row binary, first binary, size binary")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shards.schema.fields) + ", n_bytes long, n_removed long, n_spans long, kept binary"
+    fields = common.with_fields(shards.schema, "n_bytes long, n_removed long, n_spans long, kept binary")
     out = shards.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(common.tidy_pair(lambda a, b: _cut(a, b, characters)), fields)
     return out.drop("shard")
 

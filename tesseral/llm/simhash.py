@@ -255,11 +255,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     """
     prints = common.materialise(fingerprints(docs, words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    partitions = common.parallelism(docs)
+    partitions = common.parallelism(64 * prints.count(), docs.sparkSession, 1 << 20)
     root = components(links(prints.select("fp").distinct(), radius, partitions))
     # only fingerprints that have a link need the second step
     named = distinct.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that a crowded root can be split: a side that ends in an aggregate could not
+    best = common.materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = named.join(best, "root").select("fp", "component_id")
     out = prints.join(of, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

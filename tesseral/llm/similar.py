@@ -157,7 +157,7 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     """(node, root, least): a row for each distinct text, its group and the smallest doc_id that has it."""
     prints = sketches(docs, words).groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "fp", "n", "sig", "keys")])
     distinct = common.materialise(prints, "sketches")
-    partitions = common.parallelism(docs)
+    partitions = common.parallelism(2000 * distinct.count(), docs.sparkSession)
     rows = distinct.select("node", "fp", "n", "sig", F.posexplode("keys").alias("t", "v")).withColumn("t", F.col("t").cast("long"))
     cells = dealt(rows, "node").repartition(partitions, "t", "v", "lo", "hi").select("t", "v", "lo", "hi", "own", "node", "fp", "n", "sig")
     root = components(cells.mapInArrow(common.tidy(lambda it: _candidates(it, similarity, radius)), "u long, v long"))

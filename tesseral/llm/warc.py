@@ -256,7 +256,7 @@ def merge_index(captures: DataFrame, partitions: int | None = None) -> DataFrame
 
     Ranges cut through a key where it is crowded: time and id take part in the cut.
     """
-    n = partitions or common.parallelism(captures, 32 << 20)
+    n = partitions or common.parallelism(300 * captures.count(), captures.sparkSession, 32 << 20)
     return captures.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_first()).mapInArrow(_merge_partition, CAPTURES)
 
 
