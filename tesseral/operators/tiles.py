@@ -5,6 +5,7 @@ their order; a layer is framed by one task, so its size is bounded by what a til
 """
 from __future__ import annotations
 
+import math
 import struct
 
 import pandas as pd
@@ -12,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.projection import EXTENT, in_buffer, pixel, rounded_pixel, tile_of
-from .geometry import point_commands
+from ..functions.projection import BUFFER, EXTENT, in_buffer, pixel, rounded_pixel, tile_of
+from . import clip
+from .geometry import LINE_TYPE, POLYGON_TYPE, point_commands
 
 TILE_BYTES = "z int, x long, y long, data binary, n_features long"
 
@@ -37,6 +39,33 @@ def tile_points(points: DataFrame, zoom: int, extent: int = EXTENT) -> DataFrame
     return out.withColumn("commands", point_commands(F.col("px"), F.col("py")))
 
 
+def tile_shapes(shapes: DataFrame, zoom: int, extent: int = EXTENT) -> DataFrame:
+    """(z, x, y, commands, all columns of ``shapes``): each line or polygon in all tiles that show some of it.
+
+    ``shapes`` has type (LINE_TYPE or POLYGON_TYPE) and rings (array of arrays of structs lng, lat; a line
+    is one ring, holes follow the exterior).  Candidates are the tiles that the box of the shape and the
+    buffer touch, clipping decides.  No shuffle.  A shape without a position is in no tile.
+    """
+    if not 0 <= zoom <= 30:
+        raise ValueError("zoom must be 0 to 30")
+    side, top = float(1 << zoom), F.lit((1 << zoom) - 1)
+    ends = F.flatten("rings")
+    least = lambda f, pick: pick(ends[f])
+    column = lambda lng: (lng + 180.0) / 360.0 * side
+    # the row of the pole itself is infinite: held within the world before it becomes a whole number
+    row = lambda lat: F.coalesce((F.lit(1.0) - F.log(F.tan(F.radians(lat) / 2.0 + math.pi / 4)) / math.pi) / 2.0 * side, F.when(lat < 0, F.lit(side)).otherwise(F.lit(0.0)))
+    within = lambda v: F.greatest(F.least(F.floor(F.greatest(F.least(v, F.lit(2 * side)), F.lit(-side))), top), F.lit(0)).cast("long")
+    span = lambda a, b: F.explode(F.when(a <= b, F.sequence(a, b)))
+    out = shapes.withColumn("z", F.lit(zoom))
+    out = out.withColumn("x", span(within(column(least("lng", F.array_min)) - BUFFER), within(column(least("lng", F.array_max)) + BUFFER)))
+    out = out.withColumn("y", span(within(row(least("lat", F.array_max)) - BUFFER), within(row(least("lat", F.array_min)) + BUFFER)))
+    at = F.col("z"), F.col("x"), F.col("y")
+    lngs, lats = (F.col("rings")[0][f] for f in ("lng", "lat"))
+    lines = out.where(F.col("type") == LINE_TYPE).withColumn("commands", clip.line_commands(lngs, lats, *at, extent=extent))
+    areas = out.where(F.col("type") == POLYGON_TYPE).withColumn("commands", clip.polygon_commands(F.col("rings"), *at, extent=extent))
+    return lines.unionByName(areas).where(F.size("commands") > 0)
+
+
 def feature_ids(features: DataFrame, keys: list[str], order: list[str], explicit: str = "explicit_id") -> DataFrame:
     """Adds ``feature_id``: the explicit id, else 1, 2, 3, ... in order among those without one."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -311,13 +340,13 @@ def violations(data: bytes) -> list[str]:
 
 
 def conformance(tiles: DataFrame) -> DataFrame:
-    """(z, x, y, violations) of tile bytes."""
+    """(z, x, y, n_features, violations) of tile bytes."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"z": pdf.z, "x": pdf.x, "y": pdf.y, "violations": [len(violations(bytes(b))) for b in pdf.data]})
+            yield pd.DataFrame({"z": pdf.z, "x": pdf.x, "y": pdf.y, "n_features": [sum(len(a["features"]) for a in decode_tile(bytes(b))) for b in pdf.data], "violations": [len(violations(bytes(b))) for b in pdf.data]})
 
-    return tiles.select("z", "x", "y", "data").mapInPandas(run, "z int, x long, y long, violations long")
+    return tiles.select("z", "x", "y", "data").mapInPandas(run, "z int, x long, y long, n_features long, violations long")
 
 
 def decoded_points(tiles: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curve, geodesy, geohash, hashing, projection
 from ..functions.numbers import interpolate, zigzag
-from ..operators import control, geojson, geometry, keyed, replog, routing, spatial, tiles
+from ..operators import clip, control, geojson, geometry, keyed, replog, routing, spatial, tiles
 from ..sources import kml, text
 from ..streaming import keyed as streams
 from . import inputs, ranges
@@ -400,17 +400,115 @@ def tile_decode_roundtrip(spark, d):
 # --- lines and rings
 
 
-@query()
+_LO, _HI = "(-204.8)::DOUBLE", "4300.8::DOUBLE"
+_SQL_TRACK = f"SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, lon, lat) AS k, lon, lat FROM ({inputs._sql_placed('(SELECT *, l_partkey + l_linenumber AS pk FROM lineitem)', 'pk', 'l_orderkey', 'l_linenumber')})"
+
+
+def s_vertices(zoom: int, tiles_: str) -> str:
+    """Rounded vertices (id, tx, ty, k, px, py) of the tracks in each of the tiles (tx, ty)."""
+    side, extent = f"{float(1 << zoom)}::DOUBLE", "4096.0::DOUBLE"
+    px = f"((lon + 180.0::DOUBLE) / 360.0::DOUBLE * {side} - tx) * {extent}"
+    py = f"((1.0::DOUBLE - ln(tan(pi() / 4 + radians(lat) / 2)) / pi()) / 2.0::DOUBLE * {side} - ty) * {extent}"
+    return f"verts AS (SELECT id, tx, ty, k, round_even({px}, 0)::DOUBLE AS px, round_even({py}, 0)::DOUBLE AS py FROM ({_SQL_TRACK}), (VALUES {tiles_}) t(tx, ty))"
+
+
+def _s_code(x: str, y: str) -> str:
+    return f"(CASE WHEN {x} < {_LO} THEN 1 ELSE 0 END | CASE WHEN {x} > {_HI} THEN 2 ELSE 0 END | CASE WHEN {y} < {_LO} THEN 4 ELSE 0 END | CASE WHEN {y} > {_HI} THEN 8 ELSE 0 END)"
+
+
+def s_line_parts() -> str:
+    """parts (id, tx, ty, part, j, n, x, y) of ``verts``: one cut of a segment a step, runs by neighbouring rows."""
+    snap = lambda v: f"CASE WHEN abs({v} - {_LO}) < 1e-6 THEN {_LO} WHEN abs({v} - {_HI}) < 1e-6 THEN {_HI} ELSE {v} END"
+    near = "CASE WHEN c0 <> 0 THEN c0 ELSE c1 END"
+    edge = f"CASE WHEN {near} & 12 > 0 THEN CASE WHEN {near} & 8 > 0 THEN {_HI} ELSE {_LO} END ELSE CASE WHEN {near} & 2 > 0 THEN {_HI} ELSE {_LO} END END"
+    return f"""segs AS (SELECT id, tx, ty, k, px AS x0, py AS y0, lead(px) OVER w AS x1, lead(py) OVER w AS y1 FROM verts WINDOW w AS (PARTITION BY id, tx, ty ORDER BY k)),
+cuts AS (SELECT id, tx, ty, k, x0, y0, x1, y1, {_s_code('x0', 'y0')} AS c0, {_s_code('x1', 'y1')} AS c1 FROM segs WHERE x1 IS NOT NULL
+  UNION ALL SELECT id, tx, ty, k, CASE WHEN c0 <> 0 THEN x ELSE x0 END, CASE WHEN c0 <> 0 THEN y ELSE y0 END, CASE WHEN c0 = 0 THEN x ELSE x1 END, CASE WHEN c0 = 0 THEN y ELSE y1 END,
+    CASE WHEN c0 <> 0 THEN {_s_code('x', 'y')} ELSE c0 END, CASE WHEN c0 = 0 THEN {_s_code('x', 'y')} ELSE c1 END
+  FROM (SELECT *, {snap('CASE WHEN ' + near + ' & 12 > 0 THEN x0 + (x1 - x0) * (edge - y0) / (y1 - y0) ELSE edge END')} AS x, {snap('CASE WHEN ' + near + ' & 12 > 0 THEN edge ELSE y0 + (y1 - y0) * (edge - x0) / (x1 - x0) END')} AS y
+    FROM (SELECT *, {edge} AS edge FROM cuts WHERE (c0 | c1) <> 0 AND (c0 & c1) = 0))),
+seen AS (SELECT id, tx, ty, k, round_even(x0, 0)::BIGINT AS ax, round_even(y0, 0)::BIGINT AS ay, round_even(x1, 0)::BIGINT AS bx, round_even(y1, 0)::BIGINT AS ny FROM cuts WHERE (c0 | c1) = 0),
+begun AS (SELECT *, coalesce((lag(k) OVER w) = k - 1 AND (lag(bx) OVER w) = ax AND (lag(ny) OVER w) = ay, false) AS follows FROM seen WINDOW w AS (PARTITION BY id, tx, ty ORDER BY k)),
+runs AS (SELECT *, sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER (PARTITION BY id, tx, ty ORDER BY k) AS part FROM begun),
+dots AS (SELECT id, tx, ty, part, k, 0 AS o, ax AS x, ay AS y FROM runs WHERE NOT follows UNION ALL SELECT id, tx, ty, part, k, 1, bx, ny FROM runs WHERE ax <> bx OR ay <> ny),
+counted AS (SELECT *, count(*) OVER (PARTITION BY id, tx, ty, part) AS n, row_number() OVER (PARTITION BY id, tx, ty, part ORDER BY k, o) AS j FROM dots),
+parts AS (SELECT * FROM counted WHERE n >= 2)"""
+
+
+def s_ring_cut(source: str, name: str, axis: str, edge: str, low: bool) -> str:
+    """``name`` (id, tx, ty, k, px, py): the rings of ``source`` cut by one half plane."""
+    v, w = ("px", "py") if axis == "x" else ("py", "px")
+    inside = lambda c: f"{c} {'>=' if low else '<='} {edge}"
+    met = f"{edge} AS {v}, q{w} + (({edge} - q{v}) / ({v} - q{v})) * ({w} - q{w}) AS {w}"
+    return f"""{name}_q AS (SELECT *, coalesce(lag(px) OVER w, last_value(px) OVER f) AS qpx, coalesce(lag(py) OVER w, last_value(py) OVER f) AS qpy FROM {source} WINDOW w AS (PARTITION BY id, tx, ty ORDER BY k), f AS (PARTITION BY id, tx, ty ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+{name} AS (SELECT id, tx, ty, row_number() OVER (PARTITION BY id, tx, ty ORDER BY k, o) AS k, px, py FROM (SELECT id, tx, ty, k, 0 AS o, {met} FROM {name}_q WHERE ({inside(v)}) <> ({inside('q' + v)}) UNION ALL SELECT id, tx, ty, k, 1, {'px AS px, py AS py' if axis == 'x' else 'py AS py, px AS px'} FROM {name}_q WHERE {inside(v)}))"""
+
+
+def s_rings() -> str:
+    """rings (id, tx, ty, k, n, x, y, area2): clipped, rounded, without repeated neighbours; vertices in the order of clipping."""
+    cuts = ",\n".join((s_ring_cut("verts3", "e1", "x", _LO, True), s_ring_cut("e1", "e2", "x", _HI, False), s_ring_cut("e2", "e3", "y", _LO, True), s_ring_cut("e3", "e4", "y", _HI, False)))
+    return f"""verts3 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY id, tx, ty) AS n FROM verts) WHERE n >= 3),
+{cuts},
+whole AS (SELECT id, tx, ty, k, round_even(px, 0)::BIGINT AS x, round_even(py, 0)::BIGINT AS y FROM e4),
+lone AS (SELECT * FROM (SELECT *, lag(x) OVER w AS ox, lag(y) OVER w AS oy FROM whole WINDOW w AS (PARTITION BY id, tx, ty ORDER BY k)) WHERE ox IS NULL OR ox <> x OR oy <> y),
+ends AS (SELECT *, row_number() OVER w AS j, count(*) OVER f AS m, first_value(x) OVER f AS fx, first_value(y) OVER f AS fy FROM lone WINDOW w AS (PARTITION BY id, tx, ty ORDER BY k), f AS (PARTITION BY id, tx, ty ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+open AS (SELECT id, tx, ty, j AS k, x, y, count(*) OVER (PARTITION BY id, tx, ty) AS n FROM ends WHERE NOT (j > 1 AND j = m AND x = fx AND y = fy)),
+next AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM open WHERE n >= 3 WINDOW w AS (PARTITION BY id, tx, ty ORDER BY k)),
+rings AS (SELECT * FROM (SELECT id, tx, ty, k, n, x, y, sum(x * ny - nx * y) OVER (PARTITION BY id, tx, ty) AS area2 FROM next) WHERE area2 <> 0)"""
+
+
+@query(f"WITH RECURSIVE {s_vertices(1, '(1, 0)')},\n{s_line_parts()} SELECT id AS l_orderkey, count(DISTINCT part) AS n_parts, count(*) AS n_vertices, sum(x * j)::BIGINT AS x_sum, sum(y * j)::BIGINT AS y_sum FROM parts GROUP BY id")
 def line_clip(spark, d):
-    """Parts and vertices of each order's track in the world tile of zoom 1."""
-    t = inputs.tracks(spark, d).where(F.size("lons") >= 2).withColumn("parts", geometry.line_parts(F.col("lons"), F.col("lats"), F.lit(1), F.lit(1), F.lit(0)))
-    return t.select("l_orderkey", F.size("parts").alias("n_parts"), F.size(F.flatten("parts")).alias("n_vertices")).where("n_parts > 0")
+    """Parts and vertices of each order's track in tile 1/1/0; the sums weigh a vertex by its place in its part."""
+    t = inputs.tracks(spark, d).where(F.size("lons") >= 2).withColumn("parts", clip.line_parts(F.col("lons"), F.col("lats"), F.lit(1), F.lit(1), F.lit(0)))
+    weighed = lambda c: F.aggregate(F.flatten(F.transform("parts", lambda p: F.transform(p, lambda v, j: v[c].cast("long") * (j + 1)))), F.lit(0).cast("long"), lambda a, b: a + b)
+    return t.where(F.size("parts") > 0).select("l_orderkey", F.size("parts").cast("long").alias("n_parts"), F.size(F.flatten("parts")).cast("long").alias("n_vertices"), weighed("x").alias("x_sum"), weighed("y").alias("y_sum"))
 
 
-@query()
+def _ring(t):
+    return F.array(F.arrays_zip("lons", "lats")).cast("array<array<struct<lng:double,lat:double>>>")
+
+
+@query(f"WITH {s_vertices(1, '(1, 0)')},\n{s_rings()} SELECT id AS l_orderkey, count(*) AS n_vertices, abs(max(area2))::DOUBLE AS area2, sum(x)::BIGINT AS x_sum, sum(y)::BIGINT AS y_sum FROM rings GROUP BY id")
 def polygon_clip(spark, d):
-    t = inputs.tracks(spark, d).where(F.size("lons") >= 3).withColumn("rings", geometry.polygon_parts(F.col("lons"), F.col("lats"), F.lit(1), F.lit(1), F.lit(0)))
-    return t.where(F.size("rings") > 0).select("l_orderkey", F.size(F.col("rings")[0]).alias("n_vertices"), geodesy.ring_area2(F.transform(F.col("rings")[0], lambda p: p["x"]), F.transform(F.col("rings")[0], lambda p: p["y"])).alias("area2"))
+    """Each order's track as a ring, clipped to tile 1/1/0 and turned to a positive area."""
+    t = inputs.tracks(spark, d).where(F.size("lons") >= 3)
+    t = t.withColumn("rings", clip.polygon_parts(_ring(t), F.lit(1), F.lit(1), F.lit(0))).where(F.size("rings") > 0).withColumn("r", F.col("rings")[0])
+    xs, ys = F.col("r.x"), F.col("r.y")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+    return t.select("l_orderkey", F.size("r").cast("long").alias("n_vertices"), geodesy.ring_area2(xs, ys).alias("area2"), total(xs).alias("x_sum"), total(ys).alias("y_sum"))
+
+
+_WORLD = "(0, 0), (0, 1), (1, 0), (1, 1)"
+_S_STEP = "SELECT *, x - coalesce(lag(x) OVER w, 0) AS dx, y - coalesce(lag(y) OVER w, 0) AS dy FROM parts WINDOW w AS (PARTITION BY id, tx, ty ORDER BY part, j)"
+
+
+@query(f"""WITH RECURSIVE {s_vertices(1, _WORLD)},
+{s_line_parts()}, moved AS ({_S_STEP})
+SELECT 1 AS z, tx::BIGINT AS x, ty::BIGINT AS y, id AS l_orderkey, string_agg(CASE j WHEN 1 THEN '9,' WHEN 2 THEN (2 + 8 * (n - 1)) || ',' ELSE '' END || ({_ZZ('dx')}) || ',' || ({_ZZ('dy')}), ',' ORDER BY part, j) AS commands FROM moved GROUP BY id, tx, ty""")
+def tile_lines(spark, d):
+    """Every order's track in all tiles that show some of it, encoded as one line of one part or several."""
+    t = inputs.tracks(spark, d)
+    shapes = t.select("l_orderkey", F.lit(geometry.LINE_TYPE).alias("type"), _ring(t).alias("rings"))
+    return tiles.tile_shapes(shapes, 1).select("z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "l_orderkey", F.array_join(F.transform("commands", lambda v: v.cast("string")), ",").alias("commands"))
+
+
+def _shape_tiles(spark, d):
+    t = inputs.tracks(spark, d)
+    shapes = t.select("l_orderkey", F.explode(F.array(F.lit(geometry.LINE_TYPE), F.lit(geometry.POLYGON_TYPE))).alias("type"), _ring(t).alias("rings"))
+    layer = F.when(F.col("type") == geometry.LINE_TYPE, "tracks").otherwise("areas")
+    tag = F.array(F.struct(F.lit("order").alias("key"), F.lit("i").alias("kind"), F.col("l_orderkey").cast("string").alias("value")))
+    # a feature on each level of a world tile: higher zooms spread the features over more tasks
+    return tiles.encode_tiles(tiles.tile_shapes(shapes, 3).select("z", "x", "y", layer.alias("layer"), F.struct("type", "l_orderkey").alias("pos"), "type", "commands", tag.alias("tags"), F.lit(None).cast("long").alias("explicit_id")))
+
+
+@query(f"""WITH RECURSIVE {s_vertices(3, ', '.join(f'({x}, {y})' for x in range(8) for y in range(8)))},
+{s_line_parts()},
+{s_rings()}, drawn AS (SELECT DISTINCT id, tx, ty, 0 AS kind FROM parts UNION ALL SELECT DISTINCT id, tx, ty, 1 FROM rings)
+SELECT tx::BIGINT AS x, ty::BIGINT AS y, count(*) AS n_features, 0::BIGINT AS violations FROM drawn GROUP BY tx, ty""")
+def tile_shapes(spark, d):
+    """Tiles of lines and polygons as bytes, checked against the rules of the format."""
+    return tiles.conformance(_shape_tiles(spark, d)).select("x", "y", "n_features", "violations")
 
 
 _V = "SELECT l_orderkey, l_linenumber, (l_partkey + l_linenumber) * 7919 % 1000 AS vx, (l_partkey + l_linenumber) * 104729 % 1000 AS vy FROM lineitem"

@@ -1,12 +1,14 @@
 """Tile geometry and bytes."""
 import math
+import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tesseral.functions.numbers import unzigzag, zigzag
-from tesseral.operators import geojson, geometry, tiles
+from tesseral.operators import clip, geojson, geometry, tiles
 from tesseral.operators.geometry import Encoder, area2, clip_line, clip_ring, decode_commands, encode_parts, orient
 from tesseral.sources import kml
 
@@ -32,6 +34,74 @@ def test_clip_line():
     assert out == [[(100, 100), (100, -205)], [(200, -205), (200, 100)]]
 
 
+def test_hidden_segment_ends_a_part():
+    assert clip_line([(0, 0), (5000, 0), (6000, 0), (0, 0)]) == [[(0, 0), (4301, 0)], [(4301, 0), (0, 0)]]
+    assert clip_line([(0, 0), (10, 0), (10, 0), (20, 0)]) == [[(0, 0), (10, 0), (20, 0)]]
+
+
+def _flat(shapes):
+    flat = [p for s in shapes for p in s]
+    return np.array([p[0] for p in flat], float), np.array([p[1] for p in flat], float), np.cumsum([0] + [len(s) for s in shapes])
+
+
+def _nested(x, y, part, of=None):
+    out = [list(zip(x[a:b].tolist(), y[a:b].tolist())) for a, b in zip(part[:-1], part[1:])]
+    return out if of is None else [out[a:b] for a, b in zip(of[:-1], of[1:])]
+
+
+def test_columns_clip_as_single_shapes():
+    r = random.Random(4)
+    far = lambda: r.choice([r.randrange(-300, 4400), r.randrange(-9000, 13000), r.choice([-205, -204, 4300, 4301, 0])])
+    shapes = [[(far(), far()) for _ in range(r.randrange(0, 12))] for _ in range(3000)]
+    shapes += [s + s[:1] for s in shapes[:500]] + [[p for p in s for _ in range(2)] for s in shapes[:300]]
+    x, y, off = _flat(shapes)
+    assert _nested(*clip.clip_lines(x, y, off)) == [clip_line(s) for s in shapes]
+    cut = clip.clip_rings(x, y, off)
+    want = [clip_ring(s) if s else [] for s in shapes]
+    assert _nested(*cut) == want
+    hole = np.arange(len(shapes)) % 3 == 1
+    turned = [orient(s, h) if s else [] for s, h in zip(want, hole)]
+    assert _nested(*clip.orient_rings(*cut, hole)) == turned
+    polygon = np.array([*range(0, len(shapes), 3), len(shapes)])
+    got = clip.whole_polygons(*clip.orient_rings(*cut, hole), polygon)
+    kept = [[s for s in turned[a:b] if s] if turned[a] else [] for a, b in zip(polygon[:-1], polygon[1:])]
+    assert _nested(*got) == kept
+    values, at = clip.commands(*got, closed=True)
+    assert [values[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [encode_parts(geometry.POLYGON_TYPE, p) for p in kept]
+    got = clip.clip_lines(x, y, off)
+    values, at = clip.commands(*got, closed=False)
+    assert [values[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [encode_parts(geometry.LINE_TYPE, clip_line(s)) for s in shapes]
+
+
+def test_shapes_in_tiles(spark):
+    """Bytes of lines and of polygons with holes hold what each tile clips of them one by one."""
+    r = random.Random(9)
+    ring = lambda n, lng, lat, w: [(lng + r.uniform(-w, w), lat + r.uniform(-w, w)) for _ in range(n)]
+    rows = []
+    for i in range(40):
+        lng, lat, w = r.uniform(-170, 170), r.uniform(-75, 75), r.choice([0.01, 5, 40])
+        rows.append((i, 2, [ring(r.randrange(1, 8), lng, lat, w)]) if i % 2 else (i, 3, [ring(r.randrange(2, 7), lng, lat, w) for _ in range(r.randrange(1, 4))]))
+    rows += [(100, 2, [[]]), (101, 3, []), (102, 3, None), (103, 2, [[(0.0, -90.0), (10.0, 90.0)]])]
+    df = spark.createDataFrame(rows, "id long, type int, rings array<array<struct<lng:double,lat:double>>>")
+    for zoom in (0, 2):
+        got = {(x["id"], x["x"], x["y"]): x["commands"] for x in tiles.tile_shapes(df, zoom).collect()}
+        want = {}
+        for i, kind, rings in rows[:-1]:
+            for x in range(1 << zoom):
+                for y in range(1 << zoom):
+                    if not rings or not rings[0]:
+                        continue
+                    parts = geometry.line_in_tile(*zip(*rings[0]), zoom, x, y) if kind == 2 else geometry.rings_in_tile(rings, zoom, x, y)
+                    if parts:
+                        want[i, x, y] = encode_parts(kind, parts)
+        assert {k: v for k, v in got.items() if k[0] != 103} == want
+    full = tiles.tile_shapes(df, 2).selectExpr("z", "x", "y", "'shapes' AS layer", "id AS pos", "type", "commands", "cast(null as array<struct<key:string,kind:string,value:string>>) AS tags", "id AS explicit_id")
+    data = tiles.encode_tiles(full)
+    assert all(x["violations"] == 0 for x in tiles.conformance(data).collect())
+    seen = {(f["id"], t["x"], t["y"]): list(f["commands"]) for t in data.collect() for layer in tiles.decode_tile(bytes(t["data"])) for f in layer["features"]}
+    assert seen == {k: list(v) for k, v in got.items()}
+
+
 def test_clip_ring_and_orient():
     big = [(-9e4, -9e4), (9e4, -9e4), (9e4, 9e4), (-9e4, 9e4)]
     ring = clip_ring(big)
