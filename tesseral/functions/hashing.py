@@ -39,7 +39,7 @@ def murmur2_value(data: bytes, seed: int = 0xC58F1A7A) -> int:
 
 @F.pandas_udf(LongType())
 def murmur2(text: pd.Series) -> pd.Series:
-    distinct = {t: murmur2_value(t.encode()) for t in text.dropna().unique()}
+    distinct = {t: murmur2_value(t.encode() if isinstance(t, str) else bytes(t)) for t in text.dropna().unique()}
     return text.map(distinct).astype("Int64")
 
 

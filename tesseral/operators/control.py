@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 LEAST_DT = 0.001
 
@@ -20,6 +22,10 @@ class Gains:
     out_max: float = 100.0
 
 
+#: Gains of the older controller, which takes its sampling time as it is.
+LEGACY_GAINS = Gains(2.0, 10.0, 0.001)
+
+
 @dataclass
 class PID:
     """One controller; the integral is clamped at each step, so its fold has no shortcut."""
@@ -63,26 +69,34 @@ def pid_unclamped(series: DataFrame, key: str, order: list[str], error: str, dt:
     return series.withColumn("output", F.lit(gains.kp) * F.col(error) + F.lit(gains.ki) * total + F.lit(gains.kd) * slope)
 
 
-def pid_clamped(series: DataFrame, key: str, order: list[str], error: str, dt: str, gains: Gains) -> DataFrame:
-    """(key, order, output): the clamped controller, folded in order for each key, natively.
+def pid_clamped(series: DataFrame, key: str, order: list[str], error: str, dt: str, gains: Gains, least_dt: float | None = LEAST_DT) -> DataFrame:
+    """(key, order, output): the clamped controller, folded in order for each key.
 
-    One key's series is folded by one task, since a clamp after each step cannot be combined.
+    A clamp after each step cannot be combined, so a key's rows pass one task in order; it keeps the state
+    of one key and a batch, however long the series.  Steps under ``least_dt`` count as that long; None takes
+    them as they are.  A row without an error has no output and changes nothing.
     """
     g = gains
-    row = F.struct(*[F.col(c).alias(c) for c in order], F.col(error).cast("double").alias("e"), guarded(F.col(dt)).alias("dt"))
-    rows = series.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kept = ", ".join(f"{c}:{dict(series.dtypes)[c]}" for c in order)
-    empty = F.array().cast(f"array<struct<{kept},output:double>>")
-    start = F.struct(F.lit(0.0).alias("i"), F.lit(0.0).alias("e"), empty.alias("out"))
-
-    def step(s, r):
-        i = F.least(F.greatest(s["i"] + r["e"] * r["dt"], F.lit(g.i_min)), F.lit(g.i_max))
-        raw = F.lit(g.kp) * r["e"] + F.lit(g.ki) * i + F.lit(g.kd) * ((r["e"] - s["e"]) / r["dt"])
-        out = F.least(F.greatest(raw, F.lit(g.out_min)), F.lit(g.out_max))
-        return F.struct(i.alias("i"), r["e"].alias("e"), F.concat(s["out"], F.array(F.struct(*[r[c].alias(c) for c in order], out.alias("output")))).alias("out"))
-
-    folded = rows.select(key, F.aggregate("rows", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select(key, F.inline("out"))
+    step = F.col(dt).cast("double") if least_dt is None else F.when(F.col(dt) > 0, F.col(dt)).otherwise(F.lit(least_dt)).cast("double")
+    rows = series.select(key, *order, F.col(error).cast("double").alias("_e"), step.alias("_dt"))
+
+    def run(batches):
+        at, total, before = None, 0.0, 0.0
+        for b in batches:
+            out = []
+            for k, e, t in zip(b.column(0).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if k != at:
+                    at, total, before = k, 0.0, 0.0
+                if e is None:
+                    out.append(None)
+                    continue
+                total = min(max(total + e * t, g.i_min), g.i_max)
+                out.append(min(max(g.kp * e + g.ki * total + g.kd * ((e - before) / t), g.out_min), g.out_max))
+                before = e
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.float64())], names=[*b.schema.names[:-2], "output"])
+
+    schema = StructType([*rows.schema.fields[:-2], StructField("output", DoubleType())])
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def duty_phases(power: Column, cycle_s: float, least_s: float) -> Column:

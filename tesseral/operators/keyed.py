@@ -4,8 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.hashing import fnv1a, murmur2, partition_of
 
@@ -13,8 +15,15 @@ HASHES = {"fnv1a": fnv1a, "murmur2": murmur2}
 
 
 def assign(items: DataFrame, key: str, partitions: int, algorithm: str = "fnv1a") -> DataFrame:
-    """Adds ``part``: the hashed key modulo ``partitions``."""
-    return items.withColumn("part", partition_of(HASHES[algorithm](F.col(key).cast("string")), partitions))
+    """Adds ``part``: the hashed key (text, or bytes as they are) modulo ``partitions``.
+
+    A whole number is the partition itself and must be one.
+    """
+    kind = dict(items.dtypes)[key]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        fits = F.col(key).between(0, partitions - 1)
+        return items.withColumn("part", F.when(fits, F.col(key).cast("int")).otherwise(F.raise_error(F.lit(f"partition must be 0 to {partitions - 1}")).cast("int")))
+    return items.withColumn("part", partition_of(HASHES[algorithm](F.col(key) if kind == "binary" else F.col(key).cast("string")), partitions))
 
 
 def sequence(items: DataFrame, order: list[str]) -> DataFrame:
@@ -54,6 +63,31 @@ def process(items: DataFrame, partitions: int, order: list[str], work: Callable[
     return dealt.mapInPandas(lambda it: (work(b) for b in it), schema)
 
 
+def process_each(items: DataFrame, partitions: int, order: list[str], work: Callable[[dict], object]) -> DataFrame:
+    """The columns of ``items`` with ``result`` (string) and ``error``: each item on its own, in the order of its partition.
+
+    An item that raises is a dead letter: it keeps its row, with the error's text and no result, and the
+    queue goes on with the next one.
+    """
+    schema = StructType([*items.schema.fields, StructField("result", StringType()), StructField("error", StringType())])
+
+    def run(batches):
+        for b in batches:
+            results, errors = [], []
+            for item in b.to_pylist():
+                try:
+                    value = work(item)
+                except Exception as exc:
+                    results.append(None)
+                    errors.append(f"{type(exc).__name__}: {exc}")
+                else:
+                    results.append(None if value is None else str(value))
+                    errors.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(results, pa.string()), pa.array(errors, pa.string())], names=[*b.schema.names, "result", "error"])
+
+    return items.repartitionById(partitions, "part").sortWithinPartitions("part", *order).mapInArrow(run, schema)
+
+
 def balance(items: DataFrame) -> DataFrame:
     """Items of even and odd partitions and their absolute difference."""
     n = items.agg(F.count(F.when(F.col("part") % 2 == 0, 1)).alias("even"), F.count(F.when(F.col("part") % 2 != 0, 1)).alias("odd"))

@@ -1,7 +1,7 @@
 """Replicated command logs: state, commitment, elections, conflicts and safety checks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -108,8 +108,49 @@ def diverged_state(log: DataFrame, applied: DataFrame) -> DataFrame:
     return a.groupBy("index").agg(F.countDistinct("command").alias("commands")).where("commands > 1")
 
 
-def incomplete_leaders(committed: DataFrame, leader_log: DataFrame) -> DataFrame:
-    """Committed (index, term) that a later leader's log (leader, leader_term, index, term) lacks."""
+def incomplete_leaders(committed: DataFrame, leader_log: DataFrame, few: int = 100_000) -> DataFrame:
+    """Committed (index, term) that a later leader's log (leader, leader_term, index, term) lacks.
+
+    Leaders are first compared by counts: what is due by the committed terms (a row for each term), and what
+    they hold of it (an equi-join).  Only leaders that lack something meet the committed entries.
+    """
+    of_term = committed.groupBy("term").agg(F.count("*").alias("n"))
     leaders = leader_log.select("leader", "leader_term").distinct()
-    due = committed.join(leaders, F.col("leader_term") > F.col("term"))
-    return due.join(leader_log.select("leader", "index", "term"), ["leader", "index", "term"], "left_anti")
+    due = leaders.join(of_term, F.col("leader_term") > F.col("term")).groupBy("leader", "leader_term").agg(F.sum("n").alias("due"))
+    own = leader_log.select("leader", "leader_term", "index", "term").where("leader_term > term").distinct()
+    held = own.join(committed.select("index", "term").distinct(), ["index", "term"]).groupBy("leader", "leader_term").agg(F.count("*").alias("held"))
+    short = due.join(held, ["leader", "leader_term"], "left").where(F.coalesce("held", F.lit(0)) < F.col("due")).select("leader", "leader_term")
+    short = F.broadcast(short) if short.count() <= few else short
+    lacking = committed.join(short, F.col("leader_term") > F.col("term"))
+    return lacking.join(leader_log.select("leader", "index", "term"), ["leader", "index", "term"], "left_anti")
+
+
+def commit_after(appends: DataFrame) -> DataFrame:
+    """Adds ``commit_index`` after append requests (commit, leader_commit, prev_index, last_index): the smaller of
+    the leader's commit and the last new index (null without entries: the previous index), never backwards."""
+    last = F.coalesce("last_index", "prev_index")
+    return appends.withColumn("commit_index", F.when(F.col("leader_commit") > F.col("commit"), F.least("leader_commit", last)).otherwise(F.col("commit")))
+
+
+def adopt_term(messages: DataFrame) -> DataFrame:
+    """Adds new_term, accepted and steps_down to messages (own_term, term, role): an older term is refused,
+    a newer one is taken over and makes a follower."""
+    newer = F.col("term") > F.col("own_term")
+    return messages.withColumn("new_term", F.greatest("own_term", "term")).withColumn("accepted", F.col("term") >= F.col("own_term")).withColumn("steps_down", newer & (F.col("role") != "follower"))
+
+
+def submit(log: DataFrame, requests: DataFrame) -> DataFrame:
+    """(server, index, term, command) that leaders add to ``log`` for ``requests`` (server, role, term, seq, command).
+
+    Only leaders take commands; each server numbers its own on from the end of its log, by ``seq``.
+    """
+    ends = log.groupBy("server").agg(F.max("index").alias("end"))
+    taken = requests.where(F.col("role") == "leader").join(ends, "server", "left")
+    place = F.row_number().over(Window.partitionBy("server").orderBy("seq"))
+    return taken.select("server", (F.coalesce("end", F.lit(0)) + place).cast("long").alias("index"), "term", "command")
+
+
+def contains(settings: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``present`` to rows of ``names`` (name): whether the settings hold that name now."""
+    held = settings.select("name", F.lit(True).alias("_held"))
+    return names.join(held, "name", "left").withColumn("present", F.coalesce("_held", F.lit(False))).drop("_held")

@@ -120,6 +120,34 @@ def value_bytes(kind: str, value) -> bytes:
     raise ValueError(f"attribute kind {kind!r} is not supported")
 
 
+def checked_tile(z: Column, x: Column, y: Column, extent: int = EXTENT) -> Column:
+    """True, or an error for a zoom outside 0 to 30 or a column or row outside its world."""
+    if extent <= 0:
+        raise ValueError("extent must be greater than zero")
+    top = F.pow(F.lit(2.0), F.greatest(F.least(z, F.lit(30)), F.lit(0))).cast("long") - 1
+    bad = (z < 0) | (z > 30) | (x < 0) | (x > top) | (y < 0) | (y > top)
+    return F.when(bad, F.raise_error(F.lit("z must be 0 to 30, x and y 0 to 2^z - 1")).cast("boolean")).otherwise(F.lit(True))
+
+
+def attribute(df: DataFrame, name: str, key: str | None = None) -> Column:
+    """struct<key, kind, value> of a column, by its type: text, numbers, booleans; decimals are doubles, and
+    dates and times are text in ISO form with seven digits of a second."""
+    kind, c = dict(df.dtypes)[name], df[name]
+    fine = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0'"
+    kinds = {"string": "s", "boolean": "b", "float": "f", "double": "d", "tinyint": "i", "smallint": "i", "int": "i", "bigint": "i"}
+    if kind in kinds:
+        kind, value = kinds[kind], c.cast("string")
+    elif kind.startswith("decimal"):
+        kind, value = "d", c.cast("double").cast("string")
+    elif kind in ("date", "timestamp_ntz"):
+        kind, value = "s", F.date_format(c.cast("timestamp_ntz"), fine)
+    elif kind == "timestamp":
+        kind, value = "s", F.date_format(c, fine + "xxx")
+    else:
+        raise ValueError(f"attribute {name} of type {kind} is not supported")
+    return F.struct(F.lit(key or name).alias("key"), F.lit(kind).alias("kind"), value.alias("value"))
+
+
 class Layer:
     """One layer in the making; values of all kinds share one sequence of indexes."""
 
@@ -349,6 +377,17 @@ def conformance(tiles: DataFrame) -> DataFrame:
     return tiles.select("z", "x", "y", "data").mapInPandas(run, "z int, x long, y long, n_features long, violations long")
 
 
+def decoded_kinds(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, layer, feature_id, type) of all features in tile bytes."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(r.z, r.x, r.y, layer["name"], f["id"], f["type"]) for r in pdf.itertuples(index=False) for layer in decode_tile(bytes(r.data)) for f in layer["features"]]
+            yield pd.DataFrame(rows, columns=["z", "x", "y", "layer", "feature_id", "type"])
+
+    return tiles.select("z", "x", "y", "data").mapInPandas(run, "z int, x long, y long, layer string, feature_id long, type int")
+
+
 def decoded_points(tiles: DataFrame) -> DataFrame:
     """(z, x, y, layer, feature_id, px, py) of the point features in tile bytes."""
 

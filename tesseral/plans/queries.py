@@ -22,6 +22,14 @@ ZOOM = 6
 GAINS = control.Gains()
 
 
+def _shared(spark, name: str) -> str:
+    """A new path in the folder that all executors share; only a local session may do without one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or 'file://' + tempfile.gettempdir() + '/tesseral-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -115,8 +123,18 @@ def geo_within(spark, d):
     return found.select("id", r(F.col("dist_m"), 3).alias("dist_m")).orderBy("dist_m", "id")
 
 
+@query(ORACLE["geo_within"])
+def geo_within_index(spark, d):
+    """The same search on a stored index: row groups outside the key ranges are not read."""
+    path = _shared(spark, "index")
+    spatial.write_index(inputs.pois(spark, d), path, 8)
+    found = spatial.within(spark.read.parquet(path), LON, LAT, METRES)
+    return found.select("id", r(F.col("dist_m"), 3).alias("dist_m")).orderBy("dist_m", "id")
+
+
 @query(f"SELECT q_id, id, {sr(s_hav('q_lon', 'q_lat', 'lon', 'lat'), 3)} AS dist_m FROM ({SQL_CENTRES}) q, ({SQL_POIS}) p WHERE {s_hav('q_lon', 'q_lat', 'lon', 'lat')} <= metres")
 def geo_within_join(spark, d):
+    """Centres with radii of 200 to 1000 km and the points inside."""
     return spatial.within_join(inputs.pois(spark, d), inputs.centres(spark, d), 1_000_000.0).select("q_id", "id", r(F.col("dist_m"), 3).alias("dist_m"))
 
 
@@ -581,6 +599,71 @@ def quake_clean(spark, d):
     return text.quake_rows(feed)
 
 
+@query(ORACLE["csv_cities"])
+def csv_cities_file(spark, d):
+    """The same lines from files with a header each."""
+    c = inputs.cities(spark, d, "c_name", "c_acctbal", "c_nationkey")
+    full = F.concat_ws(",", F.concat(F.lit(" "), F.col("c_name")), F.col("lat").cast("string"), F.col("lon").cast("string"), F.col("c_acctbal").cast("long").cast("string"), F.concat(F.col("c_nationkey").cast("string"), F.lit(" ")), F.lit("extra"))
+    path = _shared(spark, "cities")
+    c.select(F.when(F.col("id") % 10 != 0, full).otherwise(F.col("c_name")).alias("name,lat,lng,population,country")).write.csv(path, header=True, sep="\x01", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return text.read_cities(spark, path).select("name", r(F.col("lat")).alias("lat"), r(F.col("lng")).alias("lng"), "population", "country")
+
+
+@query("SELECT (event_id % 90)::DOUBLE AS lat, (event_id % 180)::DOUBLE AS lng, value AS magnitude, 10.0::DOUBLE AS depth, CASE WHEN event_id % 4 = 0 THEN 'Unknown' ELSE event_type END AS place, strftime(make_timestamp(event_id * 60000000), '%Y-%m-%d %H:%M UTC') AS time FROM events WHERE event_id % 5 <> 0")
+def quake_feed(spark, d):
+    """Feed files of a hundred features each."""
+    e = table(spark, d, "events")
+    props = F.struct(F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("mag"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("place"), (F.col("event_id") * 60000).alias("time"))
+    shape = F.struct(F.array((F.col("event_id") % 180).cast("double"), (F.col("event_id") % 90).cast("double"), F.lit(10.0)).alias("coordinates"))
+    feeds = e.groupBy(F.floor(F.col("event_id") / 100).alias("feed")).agg(F.collect_list(F.struct(props.alias("properties"), shape.alias("geometry"))).alias("features"))
+    path = _shared(spark, "quakes")
+    feeds.select(F.to_json(F.struct("features")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return text.read_quakes(spark, path)
+
+
+@query(f"SELECT c_name AS name, {sr('lon')} AS lng, {sr('lat')} AS lat FROM ({SQL_CITIES})")
+def geojson_file(spark, d):
+    """Whole GeoJSON files of some cities each; a path that is not there gives no rows."""
+    nation = inputs.cities(spark, d, "c_name", "c_nationkey")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(F.col("c_name").alias("name")).alias("properties"))
+    docs = nation.groupBy("c_nationkey").agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    path = _shared(spark, "geojson")
+    docs.write.option("maxRecordsPerFile", 1).text(path)
+    read = text.read_geojson(spark, path).unionByName(text.read_geojson(spark, path + "-none"))
+    f = geojson.flatten(read.withColumn("doc_id", F.lit(0)))
+    p = F.col("rings")[0][0]
+    return f.select(F.col("props")[0]["value"].alias("name"), r(p["lng"]).alias("lng"), r(p["lat"]).alias("lat"))
+
+
+@query(f"SELECT doc_id % 25 AS doc_id, {sr('min(lon)')} AS min_lng, {sr('max(lon)')} AS max_lng, {sr('min(lat)')} AS min_lat, {sr('max(lat)')} AS max_lat FROM ({_JSON}) GROUP BY 1")
+def kml_bbox(spark, d):
+    f = kml.flatten(inputs.documents_kml(spark, d)).withColumn("doc_id", F.col("doc_id") % 25)
+    return geojson.bounding_box(f).select("doc_id", *[r(F.col(c)).alias(c) for c in ("min_lng", "max_lng", "min_lat", "max_lat")])
+
+
+def _as_geojson(t):
+    """Each track as a document of one line and one polygon."""
+    ps = F.zip_with("lons", "lats", lambda a, b: F.array(a, b))
+    line = F.concat(F.lit('{"type":"Feature","properties":{"kind":"line"},"geometry":{"type":"LineString","coordinates":'), F.to_json(ps), F.lit("}}"))
+    area = F.concat(F.lit('{"type":"Feature","properties":{"kind":"area"},"geometry":{"type":"Polygon","coordinates":['), F.to_json(F.concat(ps, F.slice(ps, 1, 1))), F.lit("]}}"))
+    return t.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit('{"type":"FeatureCollection","features":['), line, F.lit(","), area, F.lit("]}")).alias("doc"))
+
+
+@query(f"""WITH RECURSIVE {s_vertices(1, _WORLD)},
+{s_line_parts()},
+{s_rings()}, drawn AS (SELECT DISTINCT id, tx, ty, 'line' AS kind FROM parts UNION ALL SELECT DISTINCT id, tx, ty, 'area' FROM rings)
+SELECT tx::BIGINT AS x, ty::BIGINT AS y, count(*) FILTER (kind = 'line') AS n_lines, count(*) FILTER (kind = 'area') AS n_areas FROM drawn GROUP BY tx, ty""")
+def geojson_tiles(spark, d):
+    """GeoJSON documents to tile bytes and back: parsed once into a table that any number of zooms can read."""
+    path = _shared(spark, "features")
+    geojson.flatten(_as_geojson(inputs.tracks(spark, d))).write.parquet(path)
+    features = spark.read.parquet(path)
+    kind = F.when(F.col("type") == "LineString", geometry.LINE_TYPE).when(F.col("type") == "Polygon", geometry.POLYGON_TYPE)
+    drawn = tiles.tile_shapes(features.withColumn("type", kind), 1)
+    rows = drawn.select("z", "x", "y", F.lit("shapes").alias("layer"), F.struct("doc_id", "pos").alias("pos"), "type", "commands", F.col("props").alias("tags"), F.lit(None).cast("long").alias("explicit_id"))
+    return tiles.decoded_kinds(tiles.encode_tiles(rows)).groupBy("x", "y").agg(F.count(F.when(F.col("type") == geometry.LINE_TYPE, 1)).alias("n_lines"), F.count(F.when(F.col("type") == geometry.POLYGON_TYPE, 1)).alias("n_areas"))
+
+
 # --- keyed work
 
 
@@ -680,6 +763,18 @@ def pid_clamped(spark, d):
     return out.select("user_id", "event_id", r(F.col("output")).alias("output"))
 
 
+@query(f"""WITH RECURSIVE s AS (SELECT user_id, event_id, 65.0 - value AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (
+  SELECT user_id, event_id, k, e, least(greatest(e * 0.5, -1000.0), 1000.0)::DOUBLE AS i, e / 0.5 AS d FROM s WHERE k = 1
+  UNION ALL
+  SELECT s.user_id, s.event_id, s.k, s.e, least(greatest(f.i + s.e * 0.5, -1000.0), 1000.0)::DOUBLE, (s.e - f.e) / 0.5 FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1
+) SELECT user_id, event_id, {sr('least(greatest(2.0 * e + 10.0 * i + 0.001 * d, 0.0), 100.0)')} AS output FROM f""")
+def pid_legacy(spark, d):
+    """The older controller: its own gains, a given sampling time of half a second."""
+    steps = inputs.series(spark, d).withColumn("dt", F.lit(0.5))
+    out = control.pid_clamped(steps, "user_id", ["ts", "event_id"], "error", "dt", control.LEGACY_GAINS, least_dt=None)
+    return out.select("user_id", "event_id", r(F.col("output")).alias("output"))
+
+
 @query("WITH p AS (SELECT event_id, least(greatest(value, 0.0), 100.0) / 100.0 * 10.0 AS on_s FROM events), h AS (SELECT event_id, 'on' AS state, on_s AS seconds FROM p UNION ALL SELECT event_id, 'off', 10.0 - on_s FROM p) SELECT event_id, state, round(seconds, 6) + 0.0::DOUBLE AS seconds FROM h WHERE seconds > 0.5")
 def duty_phases(spark, d):
     e = table(spark, d, "events").select("event_id", F.inline(control.duty_phases(F.col("value"), 10.0, 0.5)))
@@ -827,6 +922,36 @@ def log_incomplete(spark, d):
     return replog.incomplete_leaders(committed, held.withColumn("leader_term", F.lit(1 << 40))).select("leader", "index")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 7 > event_id % 5 THEN least(event_id % 7, CASE WHEN event_id % 3 = 0 THEN event_id % 4 ELSE event_id % 4 + event_id % 3 END) ELSE event_id % 5 END AS commit_index FROM events")
+def log_append_commit(spark, d):
+    """Commit indexes after append requests, some of them without entries."""
+    i = F.col("event_id")
+    asks = table(spark, d, "events").select("event_id", (i % 5).alias("commit"), (i % 7).alias("leader_commit"), (i % 4).alias("prev_index"), F.when(i % 3 != 0, i % 4 + i % 3).alias("last_index"))
+    return replog.commit_after(asks).select("event_id", "commit_index")
+
+
+@query("SELECT event_id, greatest(event_id % 5, event_id % 7) AS new_term, event_id % 7 >= event_id % 5 AS accepted, event_id % 7 > event_id % 5 AND event_id % 3 <> 0 AS steps_down FROM events")
+def log_adopt_term(spark, d):
+    i = F.col("event_id")
+    m = table(spark, d, "events").select("event_id", (i % 5).alias("own_term"), (i % 7).alias("term"), F.when(i % 3 == 0, "follower").when(i % 3 == 1, "candidate").otherwise("leader").alias("role"))
+    return replog.adopt_term(m).select("event_id", "new_term", "accepted", "steps_down")
+
+
+@query("SELECT user_id % 3 AS server, 100 * (user_id % 3) + row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS index, 9 AS term, event_type AS command FROM events WHERE event_id % 4 = 0")
+def log_submit(spark, d):
+    """Commands to leaders are numbered on from their logs; those to others are refused."""
+    asks = table(spark, d, "events").select((F.col("user_id") % 3).alias("server"), F.when(F.col("event_id") % 4 == 0, "leader").otherwise("follower").alias("role"), F.lit(9).alias("term"), F.col("event_id").alias("seq"), F.col("event_type").alias("command"))
+    log = spark.range(1, 201).select(F.when(F.col("id") <= 100, 1).otherwise(2).cast("long").alias("server"), F.col("id").alias("index"))
+    return replog.submit(log, asks).select("server", "index", "term", "command")
+
+
+@query("WITH last AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id) SELECT (2 * user_id)::VARCHAR AS name, EXISTS (SELECT 1 FROM last l WHERE l.user_id = 2 * last.user_id AND l.t <> 'error') AS present FROM last")
+def log_contains(spark, d):
+    state = replog.state(replog.parse_commands(inputs.commands(spark, d)))
+    names = table(spark, d, "events").select((F.col("user_id") * 2).cast("string").alias("name")).distinct()
+    return replog.contains(state, names).select("name", "present")
+
+
 # --- routing
 
 
@@ -946,12 +1071,16 @@ def kettle_run(spark, d):
 # --- streams, drained; the SQL is that of their batch twins
 
 
+#: Files of one micro-batch at most: what waits stays in its files, so a slow consumer holds back its source.
+FILES_A_BATCH = 64
+
+
 def _streamed(spark, source, twin, name):
     """``source`` as files of a stream, through ``twin``, into files."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    base = _shared(spark, name)
     source.write.parquet(f"{base}/in")
     with streams.state_store(spark):
-        streams.drain_to(twin(spark.readStream.schema(source.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
+        streams.drain_to(twin(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
 
 

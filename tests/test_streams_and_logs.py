@@ -145,3 +145,38 @@ def test_route_stream_equals_batch(rocks, sf, tmp_path):
     streams.drain(streams.route_stream(stream), "route_out", str(tmp_path / "ck"))
     want = {(r["event_id"], r["client"]) for r in routing.last_client(p, ["ts", "event_id"]).collect()}
     assert {(r["event_id"], r["client"]) for r in spark.table("route_out").collect()} == want
+
+
+def test_dead_letters(spark):
+    items = spark.createDataFrame([(i, f"k{i % 5}", i % 4) for i in range(40)], "id long, key string, v long")
+    rows = keyed.process_each(keyed.assign(items, "key", 3), 3, ["id"], lambda x: 12 // x["v"]).collect()
+    assert sorted((r["id"], r["result"]) for r in rows) == [(i, None if i % 4 == 0 else str(12 // (i % 4))) for i in range(40)]
+    assert all((r["error"] or "").startswith("ZeroDivisionError") == (r["v"] == 0) for r in rows)
+
+
+def test_keys_of_all_kinds(spark):
+    df = spark.createDataFrame([(k, k.encode(), i % 3) for i, k in enumerate(["a", "bb", "", "é"])], "t string, b binary, n int")
+    for algorithm in keyed.HASHES:
+        same = keyed.assign(keyed.assign(df, "t", 7, algorithm).withColumnRenamed("part", "p"), "b", 7, algorithm)
+        assert all(r["p"] == r["part"] for r in same.collect())
+    assert [r["part"] for r in keyed.assign(df, "n", 3).collect()] == [0, 1, 2, 0]
+    with pytest.raises(Exception, match="partition must be"):
+        keyed.assign(df, "n", 2).collect()
+
+
+def test_clamped_series_skip_failed_readings(spark):
+    rows = [(k, i, None if i % 5 == 3 else float((i * 7 + k) % 11 - 5), 0.0 if i % 4 == 0 else 0.5) for k in (1, 2) for i in range(30)]
+    g = control.Gains(2.0, 0.5, 0.1, -3.0, 3.0, -4.0, 4.0)
+    got = {(r["k"], r["i"]): r["output"] for r in control.pid_clamped(spark.createDataFrame(rows, "k int, i int, e double, dt double"), "k", ["i"], "e", "dt", g).collect()}
+    for k in (1, 2):
+        total = before = 0.0
+        for kk, i, e, dt in rows:
+            if kk != k:
+                continue
+            if e is None:
+                assert got[k, i] is None
+                continue
+            dt = dt or control.LEAST_DT
+            total = min(max(total + e * dt, -3.0), 3.0)
+            assert got[k, i] == min(max(2.0 * e + 0.5 * total + 0.1 * ((e - before) / dt), -4.0), 4.0)
+            before = e

@@ -204,3 +204,22 @@ def test_kml():
     assert [r["type"] for r in rows] == ["LineString", "Point", "Polygon"]
     assert rows[0]["line_color"] == "#ff00007f" and rows[0]["line_width"] == 3 and rows[1]["icon_scale"] == 1.0
     assert rows[2]["rings"] == [[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0)]]
+
+
+def test_tile_addresses_are_checked(spark):
+    at = lambda z, x, y: spark.range(1).select(tiles.checked_tile(F.lit(z), F.lit(x), F.lit(y)).alias("ok")).first()["ok"]
+    assert at(0, 0, 0) and at(30, (1 << 30) - 1, 0)
+    for bad in ((-1, 0, 0), (31, 0, 0), (2, 4, 0), (2, 0, -1)):
+        with pytest.raises(Exception, match="z must be"):
+            at(*bad)
+    with pytest.raises(ValueError):
+        tiles.checked_tile(F.lit(0), F.lit(0), F.lit(0), 0)
+
+
+def test_attributes_of_all_types(spark):
+    df = spark.sql("SELECT 'a' AS s, true AS b, 1.5F AS f, 2.5D AS d, 7 AS i, 1.25BD AS m, DATE'2024-02-03' AS day, TIMESTAMP_NTZ'2024-02-03 04:05:06.25' AS ntz, TIMESTAMP'2024-02-03 04:05:06' AS ts, array(1) AS x")
+    row = df.select(*[tiles.attribute(df, c).alias(c) for c in df.columns if c != "x"]).first()
+    got = {c: (row[c]["kind"], row[c]["value"]) for c in row.asDict()}
+    assert got == {"s": ("s", "a"), "b": ("b", "true"), "f": ("f", "1.5"), "d": ("d", "2.5"), "i": ("i", "7"), "m": ("d", "1.25"), "day": ("s", "2024-02-03T00:00:00.0000000"), "ntz": ("s", "2024-02-03T04:05:06.2500000"), "ts": ("s", "2024-02-03T04:05:06.0000000+00:00")}
+    with pytest.raises(ValueError):
+        tiles.attribute(df, "x")
