@@ -92,6 +92,59 @@ def parallelism(size: int, spark: SparkSession, target: int = SHARD_BYTES) -> in
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // target))
 
 
+def _hashed(v: np.ndarray) -> np.ndarray:
+    """Spark's hash of int values (Murmur3, 32 bits, seed 42), as signed numbers."""
+    m = np.uint64(0xFFFFFFFF)
+    turn = lambda x, r: ((x << np.uint64(r)) | (x >> np.uint64(32 - r))) & m
+    k = turn((v.astype(np.uint64) & m) * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+    h = (turn(np.uint64(42) ^ k, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+    h ^= np.uint64(4)
+    h = (h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B) & m
+    h = (h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35) & m
+    return (h ^ (h >> np.uint64(16))).astype(np.uint32).view(np.int32)
+
+
+def even_labels(n: int) -> np.ndarray:
+    """n numbers of which Spark's hash partitioning puts one into each of n partitions.
+
+    Numbers 0 to n - 1 would leave some partitions empty and give others five and more.
+    """
+    found, at = np.full(n, -1, np.int64), 0
+    while (found < 0).any():
+        tried = np.arange(at, at + 4 * n, dtype=np.int64)
+        p = _hashed(tried).astype(np.int64) % n
+        first, place = np.unique(p, return_index=True)
+        open_ = found[first] < 0
+        found[first[open_]] = tried[place[open_]]
+        at += 4 * n
+    return found.astype(np.int32)
+
+
+#: Shards up to which their labels (4 bytes each) are part of the plan.
+LABELLED_SHARDS = 100_000
+
+
+def shard_of(mixed: Column, n: int) -> Column:
+    """The shard of a hashed key: an even label, or the plain number where there are very many."""
+    k = F.pmod(mixed, F.lit(n)).cast("int")
+    if n > LABELLED_SHARDS:
+        return k
+    return F.element_at(F.from_json(F.lit(str(even_labels(n).tolist())), "array<int>"), k + 1)
+
+
+def whole_partition(f):
+    """A function of all rows of a partition as one table, for partitions that are one bucket."""
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if got:
+            out = f(pa.Table.from_batches(got))
+            del got
+            yield from out.to_batches(max_chunksize=4096)
+
+    return tidy(run)
+
+
 def with_fields(schema: StructType, more: str) -> StructType:
     """``schema`` with the fields of a DDL string behind its own; names of any kind, all may be null."""
     return StructType([StructField(f.name, f.dataType, True) for f in schema] + list(DataType.fromDDL(more)))

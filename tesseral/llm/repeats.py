@@ -10,6 +10,10 @@ travel.  Later digits are eight bytes wide and are sorted inside a bucket.
 The documents are dealt into shards once; a shard sends each distinct first digit, and each distinct
 run, at most once, with the smallest document that has it.  A passage that a third of all documents
 share therefore costs a bucket one row for each shard, not one for each document.
+
+A first digit with very many runs (a common phrase in ever new surroundings) is split by its next digits: the
+next least hashes of the window, more of them the more runs there are, up to all.  Equal windows share
+those too, so nothing is lost; each part goes to a bucket of its own.
 """
 from __future__ import annotations
 
@@ -22,6 +26,9 @@ from . import common
 
 WINDOW = 50
 SEED_BYTES = 16
+#: Runs of one first digit from which it is split by the next one; each STEP times as many double the digits.
+HOT_RUNS, STEP = 16_384, 16
+GRAMS = WINDOW - SEED_BYTES + 1
 #: Bytes of text that one vector step covers; bounds the memory of a task.
 BLOCK = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -68,7 +75,7 @@ def runs(data: np.ndarray, off: np.ndarray):
     Starts are relative to the row's text.  Every window of every row is in exactly one run.
     """
     out = []
-    span = WINDOW - SEED_BYTES + 1
+    span = GRAMS
     for i, j in _blocks(off):
         part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         count = np.maximum(np.diff(o) - WINDOW + 1, 0)
@@ -143,7 +150,7 @@ def _by(bucket: np.ndarray):
 
 
 def _digits_of_shard(table: pa.Table, buckets: int) -> pa.Table:
-    """Each distinct first digit of the shard once, with a flag if two documents of it have it."""
+    """Each distinct first digit of the shard once, with its runs and a flag if two documents of it have it."""
     table = _ranked(table)
     data, off = common.utf8(table.column("text"))
     owner = common.ints(table.column("doc_id"))
@@ -152,27 +159,36 @@ def _digits_of_shard(table: pa.Table, buckets: int) -> pa.Table:
     value, own = value[order], owner[row[order]]
     head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
     many = np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head) if len(head) else np.zeros(0, bool)
+    n_runs = np.minimum(np.diff(np.append(head, len(value))), 0xFFFFFFFF).astype(np.uint32)
     bucket, low = _keys(value[head], buckets)
     shard = table.column("shard")[0].as_py()
-    out = [(b, shard, low[p].tobytes(), np.packbits(many[p]).tobytes()) for b, p in _by(bucket)]
-    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "shard": pa.array([x[1] for x in out], pa.int32()), "digits": pa.array([x[2] for x in out], pa.binary()), "many": pa.array([x[3] for x in out], pa.binary())})
+    out = [(b, shard, low[p].tobytes(), np.packbits(many[p]).tobytes(), n_runs[p].tobytes()) for b, p in _by(bucket)]
+    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "shard": pa.array([x[1] for x in out], pa.int32()), **{n: pa.array([x[i] for x in out], pa.binary()) for i, n in ((2, "digits"), (3, "many"), (4, "runs"))}})
+
+
+def depths(n_runs: np.ndarray, hot: int) -> np.ndarray:
+    """Digits by which runs are dealt out: 1, from ``hot`` runs 2, then twice as many for STEP times the runs."""
+    with np.errstate(divide="ignore"):
+        level = np.floor(np.log(np.maximum(n_runs, 1) / hot) / np.log(STEP)) + 1
+    return np.where(n_runs >= hot, np.minimum(2.0 ** np.maximum(level, 1), GRAMS), 1).astype(np.uint8)
 
 
-def _shared_digits(table: pa.Table) -> pa.Table:
-    """For each shard the first digits of the bucket that occur in two documents or more."""
+def _shared_digits(table: pa.Table, hot: int) -> pa.Table:
+    """For each shard the first digits of the bucket that occur in two documents or more, and their depths."""
     shards = table.column("shard").to_pylist()
     parts = [np.frombuffer(x, np.uint32) for x in table.column("digits").to_pylist()]
     flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("many").to_pylist(), parts)]
-    every = np.sort(np.concatenate(parts))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    every, back = np.unique(np.concatenate(parts), return_inverse=True)
+    twice = every[np.bincount(back) > 1]
+    deep = depths(np.bincount(back, np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("runs").to_pylist()])), hot)
     out = []
     for s, p, f in zip(shards, parts, flags):
         at = np.searchsorted(twice, p)
         both = f | (twice[np.minimum(at, len(twice) - 1)] == p if len(twice) else False)
         if both.any():
-            out.append((s, p[both].tobytes()))
+            out.append((s, p[both].tobytes(), deep[np.searchsorted(every, p[both])].tobytes()))
     b = table.column("bucket")[0].as_py()
-    return pa.table({"shard": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([b] * len(out), pa.int32()), "digits": pa.array([x[1] for x in out], pa.binary())})
+    return pa.table({"shard": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([b] * len(out), pa.int32()), "digits": pa.array([x[1] for x in out], pa.binary()), "depths": pa.array([x[2] for x in out], pa.binary())})
 
 
 _RUNS = "bucket int, shard int, digit binary, owner binary, row binary, first binary, size binary, data binary"
@@ -184,6 +200,31 @@ def _run_table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("bucket", "shard", "digit", "owner", "row", "first", "size", "data"), cols, kinds)})
 
 
+def split_runs(data: np.ndarray, off: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, depth: np.ndarray, step: int = 32_768):
+    """(row, first, last, value) of the runs cut where the ``depth`` least hashes of the window change."""
+    out = []
+    for i, j in _blocks(off):
+        mine = np.flatnonzero((row >= i) & (row < j))
+        if not len(mine):
+            continue
+        grams = gram_hashes(data[off[i] : off[j]], SEED_BYTES)
+        count = last[mine] - first[mine] + 1
+        run = np.repeat(mine, count)
+        start = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        value = np.empty(len(run), np.uint64)
+        for a in range(0, len(run), step):
+            w = slice(a, a + step)
+            least = np.sort(grams[(off[row[run[w]]] - off[i] + start[w])[:, None] + np.arange(GRAMS)], axis=1)
+            h, d = least[:, 0].copy(), depth[run[w]]
+            for k in range(1, int(d.max())):
+                h = np.where(k < d, (h ^ (h >> np.uint64(29))) * _power(1) + least[:, k], h)
+            value[w] = h ^ (h >> np.uint64(31))
+        head = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (run[1:] != run[:-1]))))
+        tail = np.append(head[1:], len(run)) - 1
+        out.append((row[run[head]], start[head], start[tail], value[head]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _runs_of_shard(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     """The shard's runs with a shared first digit: each distinct text once, with its smallest owner.
 
@@ -199,11 +240,21 @@ def _runs_of_shard(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table
     row, first, last, value = runs(data, off)
     bucket, low = _keys(value, buckets)
     wanted = np.concatenate([np.frombuffer(d, np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, d in zip(replies.column("bucket").to_pylist(), replies.column("digits").to_pylist())])
-    wanted.sort()
+    depth = np.concatenate([np.frombuffer(d, np.uint8) for d in replies.column("depths").to_pylist()])
+    order = np.argsort(wanted)
+    wanted, depth = wanted[order], depth[order]
     key = bucket.astype(np.uint64) << np.uint64(32) | low
     at = np.searchsorted(wanted, key)
     hit = wanted[np.minimum(at, len(wanted) - 1)] == key
-    row, first, last, bucket, low = row[hit], first[hit], last[hit], bucket[hit], low[hit]
+    row, first, last, bucket, low, deep = row[hit], first[hit], last[hit], bucket[hit], low[hit], depth[at[hit]]
+    if (deep > 1).any():
+        d, s = np.flatnonzero(deep > 1), np.flatnonzero(deep == 1)
+        cut = split_runs(data, off, row[d], first[d], last[d], deep[d])
+        row, first, last = (np.concatenate((a[s], b)) for a, b in zip((row, first, last), cut))
+        more = _keys(cut[3], buckets)
+        bucket, low = np.concatenate((bucket[s], more[0])), np.concatenate((low[s], more[1]))
+        order = np.lexsort((first, row))  # the smallest id first, as below
+        row, first, last, bucket, low = row[order], first[order], last[order], bucket[order], low[order]
     raw = data.tobytes()
     begin = (off[row] + first).tolist()
     end = (off[row] + last + WINDOW).tolist()
@@ -336,25 +387,25 @@ def _cut(table: pa.Table, found: pa.Table, characters: bool = False) -> pa.Table
     return table
 
 
-def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, characters: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Per row of ``docs``: doc_id, text, its other columns as c0, c1, ..., n_bytes, n_removed, n_spans, kept.
 
     ``kept`` (binary) is the UTF-8 text without every byte that some WINDOW-byte string covers which
     also starts in a document with a smaller doc_id; all strings are judged on the input.  Null
     texts are empty.  Rows with the same id are never smaller than each other; rows without an id
     count as larger than all others and equal to one another.  Texts under WINDOW bytes are kept
-    whole.  Empty tables give no rows.  With ``characters`` what is left of a character that lost a
+    whole, very long ones are one shard's work with memory in proportion.  Empty tables give no rows.  With ``characters`` what is left of a character that lost a
     byte is not in ``kept`` either, nor what was no UTF-8 before; the counts stay those of the windows.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
     n = common.parallelism(common.text_bytes(docs), docs.sparkSession)
     mixed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    shards = keyed.withColumn("shard", F.pmod(mixed, F.lit(n)).cast("int")).repartition(n, "shard")
-    digits = shards.groupBy("shard").applyInArrow(common.tidy_group(lambda t: _digits_of_shard(t, n)), "bucket int, shard int, digits binary, many binary")
-    shared = digits.groupBy("bucket").applyInArrow(common.tidy_group(_shared_digits), "shard int, bucket int, digits binary")
+    shards = keyed.withColumn("shard", common.shard_of(mixed, n)).repartition(n, "shard")
+    digits = shards.groupBy("shard").applyInArrow(common.tidy_group(lambda t: _digits_of_shard(t, n)), "bucket int, shard int, digits binary, many binary, runs binary")
+    shared = digits.repartitionById(n, "bucket").mapInArrow(common.whole_partition(lambda t: _shared_digits(t, hot_runs)), "shard int, bucket int, digits binary, depths binary")
     found = shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(common.tidy_pair(lambda a, b: _runs_of_shard(a, b, n)), _RUNS)
-    covered = found.groupBy("bucket").applyInArrow(common.tidy_group(_sort_bucket), "shard int, row binary, first binary, size binary")
+    covered = found.repartitionById(n, "bucket").mapInArrow(common.whole_partition(_sort_bucket), "shard int, row binary, first binary, size binary")
     fields = common.with_fields(shards.schema, "n_bytes long, n_removed long, n_spans long, kept binary")
     out = shards.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(common.tidy_pair(lambda a, b: _cut(a, b, characters)), fields)
     return out.drop("shard")

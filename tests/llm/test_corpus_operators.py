@@ -149,6 +149,29 @@ def test_repeats(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 40, 3000])
+def test_hot_digits_are_split(spark, hot):
+    """A common phrase in ever new surroundings, at all depths from two digits to the whole window."""
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    phrase, longer = "all rights are reserved by us", word(70)
+    docs = [(i, " ".join(r.choice([word(r.randrange(30)), phrase, phrase, longer[: r.randrange(20, 70)]]) for _ in range(6))) for i in range(120)]
+    docs += [(200, docs[5][1]), (3, docs[7][1]), (None, docs[9][1]), (201, longer), (202, None)]
+    got = repeats.remove_repeats(frame(spark, docs), hot_runs=hot).collect()
+    assert sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in got), key=str) == sorted(slow_repeats(docs), key=str)
+
+
+def test_depths_grow_with_runs():
+    n = np.array([0, 1, 9, 10, 159, 160, 2560, 10**6, 10**9])
+    assert repeats.depths(n, 10).tolist() == [1, 1, 1, 2, 2, 4, 8, 32, 35]
+
+
+def test_labels_fall_into_all_partitions(spark):
+    for n in (1, 7, 97):
+        labels = spark.createDataFrame([(int(x),) for x in common.even_labels(n)], "k int")
+        assert {tuple(x) for x in labels.select(F.pmod(F.hash("k"), F.lit(n))).collect()} == {(i,) for i in range(n)}
+
+
 # --- language model
 
 
