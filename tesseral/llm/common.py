@@ -150,6 +150,11 @@ def with_fields(schema: StructType, more: str) -> StructType:
     return StructType([StructField(f.name, f.dataType, True) for f in schema] + list(DataType.fromDDL(more)))
 
 
+def of(df: DataFrame, name: str) -> Column:
+    """The top-level column of that name, whatever characters it has."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def doc_columns(docs: DataFrame, key: str, text: str = "text") -> list[Column]:
     """The id as long under the name ``doc_id`` and the text as string, whatever else is there."""
     return [docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")]

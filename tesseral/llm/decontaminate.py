@@ -188,7 +188,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     total = bench.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = docs.select(*common.doc_columns(docs, "doc_id"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
+    out = docs.select(*common.doc_columns(docs, "doc_id"), *[common.of(docs, c).alias(f"c{i}") for i, c in enumerate(others)])
     fields = common.with_fields(out.schema, "n_words long, n_hit long, hits binary, items array<string>")
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)

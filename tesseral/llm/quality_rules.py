@@ -212,7 +212,7 @@ def filter_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     ones are judged whole; an empty table gives no rows; repeated rows are judged one by one.
     """
     names = docs.columns
-    inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
+    inner = docs.select(*[common.of(docs, c).alias(f"c{i}") for i, c in enumerate(names)])
     text = f"c{names.index('text')}"
     at = inner.columns.index(text)
 

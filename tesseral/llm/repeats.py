@@ -398,7 +398,7 @@ def remove_repeats(docs: DataFrame, characters: bool = False, hot_runs: int = HO
     byte is not in ``kept`` either, nor what was no UTF-8 before; the counts stay those of the windows.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[common.of(docs, c).alias(f"c{i}") for i, c in enumerate(others)])
     n = common.parallelism(common.text_bytes(docs), docs.sparkSession)
     mixed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     shards = keyed.withColumn("shard", common.shard_of(mixed, n)).repartition(n, "shard")

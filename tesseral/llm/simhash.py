@@ -275,7 +275,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
     found = near_duplicates(docs, words, radius)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     names = docs.columns
-    inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
+    inner = docs.select(*[common.of(docs, c).alias(f"c{i}") for i, c in enumerate(names)])
     key = f"c{names.index('doc_id')}"
     left = inner.join(stay, inner[key].cast("long").eqNullSafe(stay["kept_id"]), "left_semi").dropDuplicates([key])
     return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -190,7 +190,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     none = F.lit(-(1 << 63))
     stay = best.select(F.coalesce("b.least", none).alias("kept_id"), F.col("b.node").alias("kept_node"))
     names = docs.columns
-    inner = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
+    inner = docs.select(*[common.of(docs, c).alias(f"c{i}") for i, c in enumerate(names)])
     key, text = inner[f"c{names.index('doc_id')}"].cast("long"), inner[f"c{names.index('text')}"].cast("string")
     inner = inner.withColumn("id_", F.coalesce(key, none)).withColumn("node_", node_of(text))
     # the join's own partitioning serves the removal of repeated rows too

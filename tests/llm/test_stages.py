@@ -4,6 +4,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 import corpus_pipeline as pipeline
 from tesseral.llm import bpe, repeats
@@ -116,3 +117,16 @@ def test_encoding(spark, odd, tables):
     assert sorted(((r["doc_id"], list(r["ids"])) for r in out if r["doc_id"] != 12), key=str) == want
     long = [r for r in out if r["doc_id"] == 12]
     assert b"".join(library.decode_single_token_bytes(i) for i in long[0]["ids"]) == b"x" * 200_000
+
+
+def test_columns_of_any_type_and_name(spark, tables):
+    """Fields whose names are no plain words travel through the stages."""
+    kind = StructType([StructField("my-col", IntegerType()), StructField("a b,c", StringType())])
+    schema = StructType([StructField("doc_id", LongType()), StructField("odd.name", kind), StructField("text", StringType()), StructField("m", MapType(StringType(), ArrayType(IntegerType())))])
+    rows = [(i, (i, "x"), prose(80, 20 + i), {"k": [i]}) for i in range(3)] + [(7, None, prose(80, 22), None)]
+    docs = spark.createDataFrame(rows, schema)
+    for k in (0, 1, 2, 3):
+        out = pipeline.STAGES[k][1](spark, docs, tables)
+        assert out.columns == docs.columns
+        got = {r["doc_id"]: (r["odd.name"] and tuple(r["odd.name"]), r["m"]) for r in out.collect()}
+        assert {i: got[i] for i in range(3)} == {i: ((i, "x"), {"k": [i]}) for i in range(3)}
