@@ -58,4 +58,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_url_filters, op7_byte_cnn, op8_suffix_dedup, op9_gru_score, op10_simhash)}
-ORACLE = {"op2_warc": warc.ORACLE_SQL, "op5_decontamination": decontaminate.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL}
+ORACLE = {"op2_warc": warc.ORACLE_SQL, "op5_decontamination": decontaminate.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL, "op8_suffix_dedup": repeats.ORACLE_SQL}

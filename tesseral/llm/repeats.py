@@ -421,3 +421,28 @@ def keep_first(docs: DataFrame) -> DataFrame:
     out = remove_repeats(docs, characters=True)
     back = {"doc_id": F.col("doc_id"), "text": F.col("kept").cast("string")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
     return out.select(*[back[c].alias(c) for c in docs.columns])
+
+
+ORACLE_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS place, hex(encode(coalesce(text, ''))) AS h FROM documents
+), chunks AS (
+  SELECT rid, place, a, substr(h, 2 * a + 1, 598) AS c FROM (SELECT rid, place, h, unnest(range(0, len(h) // 2, 250)) AS a FROM d)
+), starts AS (
+  SELECT rid, place, a + i AS p, substr(c, 2 * i + 1, 100) AS w FROM (SELECT rid, place, a, c, unnest(range(0, least(250, len(c) // 2 - 49))) AS i FROM chunks WHERE len(c) >= 100)
+), firsts AS (
+  SELECT w, min(place) AS first FROM starts GROUP BY w HAVING min(place) < max(place)
+), again AS (
+  SELECT rid, p FROM starts JOIN firsts USING (w) WHERE place > first
+), heads AS (
+  SELECT rid, p, coalesce(p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 50, true) AS head FROM again
+), spans AS (
+  SELECT rid, min(p) AS s, max(p) + 50 AS e FROM (SELECT rid, p, count(*) FILTER (head) OVER (PARTITION BY rid ORDER BY p) AS k FROM heads) GROUP BY rid, k
+), cuts AS (
+  SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS b FROM spans
+), kept AS (
+  SELECT rid, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS k FROM cuts JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
