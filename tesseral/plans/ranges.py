@@ -41,27 +41,45 @@ def wrapped(box: Box, order: int) -> list[Box]:
     return [Box(a, y0, b, y1)] if a <= b else [Box(a, y0, n - 1, y1), Box(0, y0, b, y1)]
 
 
+def _turns() -> list[list[tuple[int, int, int, int]]]:
+    """For each turn of a block (1 mirrored, 2 axes swapped, 3 both): digit, column, row and turn of its quadrants, last first."""
+    out: list[list[tuple[int, int, int, int]]] = []
+    for turn in range(4):
+        row = []
+        for q in (3, 2, 1, 0):
+            rx = q >> 1
+            ry = q & 1 ^ rx
+            x, y = (1 - rx, 1 - ry) if turn & 1 else (rx, ry)
+            row.append((q, *((y, x) if turn & 2 else (x, y)), turn if ry else turn ^ (2 | rx)))
+        out.append(row)
+    return out
+
+
+TURNS = _turns()
+
+
 def _cover(box: Box, order: int) -> list[list[int]]:
     """Ranges of exactly the box's cells, in key order: whole quadrants are taken, others descended."""
     out: list[list[int]] = []
-    # (first key, bits left, lower corner): the corner of a block is the cell of any key in it
-    stack = [(0, order)]
+    bx0, by0, bx1, by1 = box.x0, box.y0, box.x1, box.y1
+    # (first key, bits left, lower corner, turn of the curve in the block)
+    stack = [(0, order, 0, 0, 0)]
     while stack:
-        first, bits = stack.pop()
-        x, y = decode_value(first, order)
+        first, bits, x, y, turn = stack.pop()
         side = 1 << bits
-        x, y = x & -side, y & -side
-        if x > box.x1 or y > box.y1 or x + side <= box.x0 or y + side <= box.y0:
+        if x > bx1 or y > by1 or x + side <= bx0 or y + side <= by0:
             continue
-        if bits == 0 or (x >= box.x0 and y >= box.y0 and x + side - 1 <= box.x1 and y + side - 1 <= box.y1):
+        if bits == 0 or (x >= bx0 and y >= by0 and x + side - 1 <= bx1 and y + side - 1 <= by1):
             last = first + side * side - 1
             if out and out[-1][1] + 1 == first:
                 out[-1][1] = last
             else:
                 out.append([first, last])
             continue
-        quarter = 1 << 2 * (bits - 1)
-        stack += [(first + q * quarter, bits - 1) for q in (3, 2, 1, 0)]
+        bits -= 1
+        side >>= 1
+        for q, dx, dy, t in TURNS[turn]:
+            stack.append((first + (q << 2 * bits), bits, x + dx * side, y + dy * side, t))
     return out
 
 

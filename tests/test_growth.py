@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tesseral.functions.geodesy import RADIUS, haversine_m
 from tesseral.operators import spatial
 
@@ -43,3 +44,9 @@ def test_join_tries_few_pairs(spark, sf):
     count = lambda p: {tuple(x[k] for k in keys): x["n"] for x in type(tried)(of(p), spark).groupBy(*keys).agg(F.count("*").alias("n")).collect()}
     a, b = count(left), count(right)
     assert sum(n * b.get(c, 0) for c, n in a.items()) <= 4 * tried.count()
+
+
+def test_lateral_ranges_are_dealt(spark, sf):
+    """The circles come from one small file, which would be one task."""
+    tasks = entry.queries()["hilbert_ranges_lateral"](spark, sf).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
