@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tesseral.functions.geodesy import RADIUS, haversine_m
-from tesseral.operators import spatial
+from tesseral.operators import geojson, spatial
 
 
 def test_join_at_borders(spark):
@@ -50,3 +50,25 @@ def test_lateral_ranges_are_dealt(spark, sf):
     """The circles come from one small file, which would be one task."""
     tasks = entry.queries()["hilbert_ranges_lateral"](spark, sf).select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks > 1
+
+
+def test_flatten_columns(spark):
+    """Rows built as flat columns: parts, rings, holes and attributes of mixed documents, and documents without any."""
+    poly = '{"type":"Feature","properties":{"a":1,"b":"x","c":null,"d":true,"e":0.5},"geometry":{"type":"Polygon","coordinates":[[[0,0],[4.5,0],[4,4],[0,0]],[[1,1],[2,1.5,9],[2,2],[1,1]],[[1,1]]]}}'
+    multi = '{"type":"MultiLineString","coordinates":[[[0.5,1.5],["x",1],[2,true],[3,4]],[[1.0,2.0]]]}'
+    df = spark.createDataFrame([(1, poly), (2, multi), (3, None), (4, "{"), (5, '{"type":"Point","coordinates":[1.5,2]}')], "doc_id int, doc string").repartition(1)
+    pairs = lambda rings: [[tuple(p) for p in ring] for ring in rings]
+    got = sorted((x.doc_id, x.pos, x.type, pairs(x.rings), list(map(tuple, x.props))) for x in geojson.flatten(df).collect())
+    tags = [("a", "i", "1"), ("b", "s", "x"), ("d", "b", "true"), ("e", "d", "0.5")]
+    assert got == [
+        (1, 0, "Polygon", [[(0.0, 0.0), (4.5, 0.0), (4.0, 4.0)], [(1.0, 1.0), (2.0, 1.5), (2.0, 2.0)]], tags),
+        (2, 0, "LineString", [[(0.5, 1.5), (3.0, 4.0)]], []),
+        (5, 0, "Point", [[(1.5, 2.0)]], []),
+    ]
+
+
+def test_flatten_makes_no_object_of_a_position():
+    """A batch of rows is nested columns over one array of numbers."""
+    b = geojson._as_batch([(1, 0, "Point", [[(1.0, 2.0)]], []), (1, 1, "LineString", [[(3.0, 4.0), (5.0, 6.0)]], [("k", "s", "v")])])
+    assert b.column("rings").flatten().flatten().field(1).to_pylist() == [2.0, 4.0, 6.0] and b.num_rows == 2
+    assert geojson._as_batch([]).num_rows == 0
