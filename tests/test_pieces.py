@@ -1,6 +1,8 @@
 """Tiles in pieces hold what tiles in one value hold."""
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tesseral.operators import pieces, tiles
@@ -45,3 +47,18 @@ def test_pieces_are_the_tile(spark, tmp_path, many_pieces):
     assert not any(map(tiles.violations, whole.values()))
     kinds = pieces.decoded_kinds(spark.read.parquet(f"{path}/pieces")).collect()
     assert sorted(map(tuple, kinds)) == sorted((2, x, y, a["name"], f["id"], f["type"]) for (x, y), t in want.items() for a in t for f in a["features"])
+
+
+def test_checks_see_all_pieces(spark, tmp_path, many_pieces):
+    """A conforming store has no faults; tags without entries, wrong geometry and a number in two pieces are seen."""
+    df, path = shapes(spark), f"file://{tmp_path}/checked"
+    stored = pieces.write_pieces(spark, df, 0, path)
+    n = stored.groupBy().sum("n_features").first()[0]
+    (row,) = pieces.conformance(spark, path).collect()
+    assert (row.n_features, row.violations) == (n, 0)
+    one = pieces.Piece(bytes(stored.where("n_features > 1").first().data))
+    assert one.faults(10**6, 10**6) == 0 and one.faults(0, 0) > 0
+    one.kinds[:] = 1
+    assert one.faults(10**6, 10**6) == one.n
+    h = pieces._repeated((pa.scalar(0), pa.scalar(0), pa.scalar(0), pa.scalar("a"), pa.scalar(1)), pa.table({"hashes": [np.array([1, 2], np.uint64).tobytes(), np.array([2], np.uint64).tobytes()]}))
+    assert h.column("repeated").to_pylist() == [True]
